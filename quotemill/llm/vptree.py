@@ -14,7 +14,8 @@ from quotemill.session import cut, ship
 
 #: 64-bit words of a fingerprint.
 FP_WORDS = 4
-LEAF = 256
+#: Records of a tree's leaf, compared with each other in blocks.
+LEAF = 2048
 #: Records of one shard that are compared in one piece; larger shards are split into pairs of blocks.
 BLOCK = 8192
 
@@ -32,13 +33,15 @@ class Shard:
     """Records of one shard: fingerprint, length, and words from the shard's word on."""
 
     def __init__(self, fp: np.ndarray, length: np.ndarray, left: np.ndarray, t: Fraction):
-        self.fp, self.len, self.left = fp, length.astype(np.int64), left.astype(np.int64)
+        self.fp, self.len = fp, length.astype(np.int64)
         sums = np.arange(2 * int(self.len.max(initial=0)) + 1)
         p, q = t.numerator, t.denominator
-        #: Words that sets of lengths a and b must share, and may differ by, as a function of a + b.
-        self.need = -((-sums * p) // (p + q))
-        self.far = sums - 2 * self.need
+        #: Words that sets of lengths a and b may differ by, as a function of a + b.
+        self.far = sums - 2 * -((-sums * p) // (p + q))
         self.most = int(self.far.max(initial=0))
+        #: The longest partner that a record can still reach the bound with by the words it has left.
+        self.reach = left.astype(np.int64) * (p + q) // p - self.len
+        self.signs: np.ndarray | None = None
         self.tested = 0
         self.out: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -47,25 +50,49 @@ class Shard:
 
     def compare(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
         """All pairs of a and b (or of a, if same) whose positions and fingerprints allow the bound."""
-        if not len(a) or not len(b):
+        if same:
+            self._ordered(a, a, True)
+        elif len(a) and len(b):
+            self._ordered(a, b, False)
+            self._ordered(b, a, False)
+
+    def _ordered(self, short: np.ndarray, long: np.ndarray, same: bool) -> None:
+        """Pairs in which the first is no longer than the second (by index where both are as long). By the bound only a record that reaches its own length can be the shorter one."""
+        short = short[self.reach[short] >= self.len[short]]
+        if not len(short) or not len(long):
             return
-        for k, m in ((k, m) for k in range(0, len(a), 512) for m in range(k if same else 0, len(b), 2048)):
-            x, y = a[k : k + 512], b[m : m + 2048]
-            need = self.need[self.len[x][:, None] + self.len[y][None, :]]
-            ok = (self.left[x][:, None] >= need) & (self.left[y][None, :] >= need)
-            if same:
-                ok &= np.arange(k, k + len(x))[:, None] < np.arange(m, m + len(y))[None, :]
-            i, j = np.nonzero(ok)
-            self.tested += len(i)
-            i, j = x[i], y[j]
-            far = self.far[self.len[i] + self.len[j]]
-            for w in range(0, FP_WORDS, 2):
-                d = np.bitwise_count(self.fp[i, w] ^ self.fp[j, w]).astype(np.int64) + np.bitwise_count(self.fp[i, w + 1] ^ self.fp[j, w + 1])
-                far = far - d
-                keep = far >= 0
-                i, j, far = i[keep], j[keep], far[keep]
-            if len(i):
-                self.out.append((i, j))
+        short = short[np.lexsort((self.reach[short], self.len[short]))]
+        long = long[np.argsort(self.len[long], kind="stable")]
+        lens, reach = self.len[long], self.reach[long]
+        for k in range(0, len(short), 256):
+            x = short[k : k + 256]
+            lx = self.len[x]
+            lo = np.searchsorted(lens, lx[0])
+            hi = np.searchsorted(lens, self.reach[x].max(), side="right")
+            y = long[lo:hi][reach[lo:hi] >= lx[0]]
+            for m in range(0, len(y), 2048):
+                self._block(x, y[m : m + 2048], same)
+
+    def _block(self, x: np.ndarray, y: np.ndarray, same: bool) -> None:
+        self.tested += len(x) * len(y)
+        bound = self.far[self.len[x].max() + self.len[y].max()]
+        if len(x) * len(y) < 4096:
+            i, j = np.nonzero(np.bitwise_count(self.fp[x][:, None, :2] ^ self.fp[y][None, :, :2]).sum(axis=2, dtype=np.int16) <= bound)
+        else:
+            if self.signs is None:
+                bits = np.unpackbits(np.ascontiguousarray(self.fp[:, :2]).view(np.uint8), axis=1)
+                self.signs = bits.astype(np.float32) * 2 - 1
+            # Half of the bits as signs: their inner product is 128 less twice the distance.
+            i, j = np.nonzero(self.signs[x] @ self.signs[y].T >= 128 - 2 * bound)
+        i, j = x[i], y[j]
+        li, lj = self.len[i], self.len[j]
+        keep = (li <= lj) & (lj <= self.reach[i]) & (li <= self.reach[j]) & (i != j)
+        keep &= (li < lj) | (i < j) if same else (li < lj) | ((li == lj) & (i < j))
+        i, j = i[keep], j[keep]
+        d = np.bitwise_count(self.fp[i] ^ self.fp[j]).sum(axis=1, dtype=np.int64)
+        keep = d <= self.far[self.len[i] + self.len[j]]
+        if keep.any():
+            self.out.append((i[keep], j[keep]))
 
     def search(self, at: np.ndarray, depth: int = 0) -> None:
         """Pairs within `at`: a vantage point parts it at the median distance; each part is searched by itself, and across the boundary only what lies within the bound of it."""
