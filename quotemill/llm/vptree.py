@@ -14,6 +14,8 @@ from quotemill.session import cut, ship
 
 #: 64-bit words of a fingerprint.
 FP_WORDS = 4
+#: Of these, the ones that are compared as sign vectors; the rest only where those are near.
+SIGN_WORDS = 3
 #: Records of a tree's leaf, compared with each other in blocks.
 LEAF = 2048
 #: Records of one shard that are compared in one piece; larger shards are split into pairs of blocks.
@@ -76,14 +78,13 @@ class Shard:
     def _block(self, x: np.ndarray, y: np.ndarray, same: bool) -> None:
         self.tested += len(x) * len(y)
         bound = self.far[self.len[x].max() + self.len[y].max()]
-        if len(x) * len(y) < 4096:
-            i, j = np.nonzero(np.bitwise_count(self.fp[x][:, None, :2] ^ self.fp[y][None, :, :2]).sum(axis=2, dtype=np.int16) <= bound)
-        else:
-            if self.signs is None:
-                bits = np.unpackbits(np.ascontiguousarray(self.fp[:, :2]).view(np.uint8), axis=1)
-                self.signs = bits.astype(np.float32) * 2 - 1
-            # Half of the bits as signs: their inner product is 128 less twice the distance.
-            i, j = np.nonzero(self.signs[x] @ self.signs[y].T >= 128 - 2 * bound)
+        if self.signs is None:
+            bits = np.unpackbits(np.ascontiguousarray(self.fp[:, :SIGN_WORDS]).view(np.uint8), axis=1)
+            self.signs = bits.astype(np.float32) * 2 - 1
+        # Bits as signs: their inner product is their number less twice the distance.
+        near = self.signs[x] @ self.signs[y].T >= SIGN_WORDS * 64 - 2 * bound
+        k = np.flatnonzero(near)
+        i, j = k // len(y), k % len(y)
         i, j = x[i], y[j]
         li, lj = self.len[i], self.len[j]
         keep = (li <= lj) & (lj <= self.reach[i]) & (li <= self.reach[j]) & (i != j)
