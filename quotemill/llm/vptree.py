@@ -20,6 +20,8 @@ SIGN_WORDS = 3
 LEAF = 2048
 #: Records of one shard that are compared in one piece; larger shards are split into pairs of blocks.
 BLOCK = 8192
+#: Cells of so few records are compared all at once instead of one after the other.
+SMALL = 64
 
 
 def fingerprints(words: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
@@ -202,8 +204,12 @@ def _search_cells(t: pa.Table, sim: Fraction) -> pa.RecordBatch:
     ends = np.append(starts[1:], len(t))
     sid, length, left, block, lo, hi = (t[c].to_numpy() for c in ("sid", "len", "left", "block", "lo", "hi"))
     fp = np.stack([t[f"f{i}"].to_numpy().view(np.uint64) for i in range(FP_WORDS)], axis=1)
+    sizes = ends - starts
     left_ids, right_ids = [], []
-    for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+    for i, j in _small_cells(fp, length, left, np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes, sizes), block, lo, hi, sim):
+        left_ids.append(sid[i])
+        right_ids.append(sid[j])
+    for s, e in zip(starts[sizes > SMALL], ends[sizes > SMALL]):
         shard = Shard(fp[s:e], length[s:e], left[s:e], sim)
         if lo[s] == hi[s]:
             shard.search(np.arange(e - s))
@@ -222,6 +228,25 @@ def _search_cells(t: pa.Table, sim: Fraction) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(lo_)), pa.array(np.ascontiguousarray(hi_))], names=["sid_a", "sid_b"])
 
 
+def _small_cells(fp, length, left, cell, size, block, lo, hi, t: Fraction):
+    """Pairs of the cells of at most SMALL records, all cells at once: each record with the next, the one after it, and so on."""
+    at = np.flatnonzero((size > 1) & (size <= SMALL))
+    if not len(at):
+        return
+    shard = Shard(fp[at], length[at], left[at], t)
+    cell, block, apart = cell[at], block[at], (lo != hi)[at]
+    for off in range(1, SMALL):
+        i = np.flatnonzero(cell[:-off] == cell[off:])
+        if not len(i):
+            return
+        j = i + off
+        li, lj = shard.len[i], shard.len[j]
+        keep = (lj <= shard.reach[i]) & (li <= shard.reach[j]) & (~apart[i] | (block[i] != block[j]))
+        i, j, far = i[keep], j[keep], shard.far[li[keep] + lj[keep]]
+        keep = np.bitwise_count(shard.fp[i] ^ shard.fp[j]).sum(axis=1, dtype=np.int64) <= far
+        yield at[i[keep]], at[j[keep]]
+
+
 def text_sets(df: DataFrame, texts: tuple[str, ...], *, key: str) -> DataFrame:
     """key, sid, words of the rows whose texts all have something other than white space and at least one word; the texts are joined by blanks."""
     whole = None
