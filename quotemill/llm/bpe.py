@@ -54,13 +54,18 @@ class TokenAutomaton:
         self.right: dict[int, int] = {}
         self.born: dict[int, int] = {}
         self.gadget: dict[tuple[int, int], int] = {}
+        self.ends_in: dict[int, list[tuple[int, int]]] = {}
+        self.begins_with: dict[int, list[tuple[int, int]]] = {}
+        self.arcs: dict[int, dict[int, bool]] = {}
         made = {i for i, b in self.labels.items() if len(b) == 1}
         for time, (u, v) in enumerate(merges):
             a, b, w = vocabulary[u], vocabulary[v], vocabulary[u + v]
-            self.gadget[a, b] = time
-            if w not in made:
+            # Where earlier gadgets leave v no arc after u, this one finds nothing to merge.
+            if w not in made and a in made and b in made and self.arc(a, b):
                 made.add(w)
                 self.left[w], self.right[w], self.born[w] = a, b, time
+            self.gadget[a, b] = time
+        self.arcs.clear()
         # The tokens as a trie over bytes; only those that merges can make have an arc.
         self.root: dict = {}
         for i in made:
@@ -68,9 +73,6 @@ class TokenAutomaton:
             for x in self.labels[i]:
                 node = node.setdefault(x, {})
             node[-1] = i
-        self.ends_in: dict[int, list[tuple[int, int]]] = {}
-        self.begins_with: dict[int, list[tuple[int, int]]] = {}
-        self.arcs: dict[int, dict[int, bool]] = {}
         self.split = regex.compile(pattern).findall
         self.words = _Words(self)
 

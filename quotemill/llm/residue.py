@@ -84,7 +84,7 @@ def exemplars(extra: Sequence[tuple[str, str]] = ()) -> list[tuple[str, frozense
 
 
 def mention_words() -> frozenset[str]:
-    return frozenset(w for x in given.MENTION.split() for w in ([x] + tokens(x) if "-" in x else [x]))
+    return frozenset(given.MENTION.split())
 
 
 class Matcher:

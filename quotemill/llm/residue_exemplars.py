@@ -231,7 +231,7 @@ Startseite Kontakt Impressum
 Inicio Contacto Aviso legal"""
 
 #: Words by which a passage shows that it speaks of a template instead of having been left as one.
-MENTION = """template templates templated placeholder placeholders variable variables syntax draft drafts mock-up mock-ups mockup mockups
+MENTION = """template templates templated placeholder placeholders variable variables syntax draft drafts mock mockup mockups
 tutorial documentation developer developers markup snippet merge mailmerge tag tags literal literally braces brackets curly backticks
 example examples sample samples quoted quotes quoting slip typo lorem parser compiler programmers coders
 vorlage vorlagen platzhalter variablen beispiel entwürfe syntaxe modèle gabarit variable exemple brouillons
