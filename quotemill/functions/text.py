@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quotemill.functions.columns import blank_to_null
 
 WORD = r"[\p{L}\p{N}_]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatibility_form(col: pd.Series) -> pd.Series:
     """Unicode NFKD; Spark has no built-in for it."""
     return col.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))

@@ -68,7 +68,8 @@ def lexicon_scores(text: Column) -> tuple[Column, Column]:
 
 
 def recency_weight(published: Column, reference: Column, decay: float = DECAY) -> Column:
-    return F.coalesce(F.exp(-F.greatest(hours_between(reference, published), F.lit(0.0)) * decay), F.lit(UNKNOWN_AGE_WEIGHT))
+    age = F.when(published.isNotNull(), F.greatest(hours_between(reference, published), F.lit(0.0)))
+    return F.coalesce(F.exp(-age * decay), F.lit(UNKNOWN_AGE_WEIGHT))
 
 
 def event_clusters(articles: DataFrame, *, key: str = "news_id", text: str = "headline", within: tuple[str, ...] = ("ticker", "day"), similarity: float = CLUSTER) -> DataFrame:

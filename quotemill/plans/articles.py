@@ -359,7 +359,7 @@ WHERE provider IN ('alpaca', 'fmp', 'finnhub') OR (provider = 'rss' AND ticker N
     "jaccard_pairs": f"{_N}, {_PAIRS.format(source='n', group='a.day = b.day AND')} SELECT a, b, round(m / (t - m), 6) AS overlap FROM pairs WHERE m * 8 >= t * 3",
     "article_sentiment": f"{_SCORED} SELECT news_id, sentiment, round(conviction, 6) AS conviction, relevance FROM s",
     "label_histogram": f"{_SCORED} SELECT ticker, count(*) FILTER (sentiment = 'POSITIVE') AS positive, count(*) FILTER (sentiment = 'NEGATIVE') AS negative, count(*) FILTER (sentiment = 'NEUTRAL') AS neutral, arg_max(news_id, (conviction, -news_id)) AS top_article FROM s GROUP BY ticker",
-    "recency_weights": f"{_N}, x AS (SELECT news_id, (epoch_us(TIMESTAMPTZ '{END}+00') - us) / 3.6e9 AS age FROM n) SELECT news_id, round(coalesce(exp(-0.08 * greatest(age, 0.0)), 0.5), 6) AS weight, round(age, 9) AS age_hours FROM x",
+    "recency_weights": f"{_N}, x AS (SELECT news_id, (epoch_us(TIMESTAMPTZ '{END}+00') - us) / 3.6e9 AS age FROM n) SELECT news_id, round(CASE WHEN age IS NULL THEN 0.5 ELSE exp(-0.08 * greatest(age, 0.0)) END, 6) AS weight, round(age, 9) AS age_hours FROM x",
     "event_clusters": f"{_CLUSTERS} SELECT news_id, cluster, cluster_size FROM cl",
     "daily_sentiment": f"{_SIGNALS} SELECT ticker, day, round(direction, 6) AS direction, round(conviction, 6) AS conviction, sentiment, articles, events FROM sign",
     "rolling_sentiment": f"""{_SIGNALS}, y AS (SELECT ticker, day, CASE sentiment WHEN 'POSITIVE' THEN conviction WHEN 'NEGATIVE' THEN -conviction ELSE 0 END AS x, row_number() OVER (PARTITION BY ticker ORDER BY day) - 1 AS k FROM sign)

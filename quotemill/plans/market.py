@@ -14,9 +14,10 @@ from quotemill.operators.deliveries import latest_deliveries
 from quotemill.session import read
 from quotemill.sources import feeds
 
-US = "timestamp"
-SERIES = Window.partitionBy("ticker").orderBy("timestamp")
-UPTO = SERIES.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def series():
+    return Window.partitionBy("ticker").orderBy("timestamp")
 
 
 def _us(c: str = "timestamp"):
@@ -118,16 +119,16 @@ def momentum5(spark, d):
 
 
 def bar_index(spark, d):
-    return closes(spark, d).select("ticker", _us(), (F.row_number().over(SERIES) - 1).alias("bar_index"))
+    return closes(spark, d).select("ticker", _us(), (F.row_number().over(series()) - 1).alias("bar_index"))
 
 
 def previous_bars(spark, d):
-    w = SERIES.rowsBetween(-3, -1)
+    w = series().rowsBetween(-3, -1)
     return closes(spark, d).select("ticker", _us(), F.array_join(F.transform(F.collect_list("close").over(w), lambda x: F.format_string("%.4f", x)), ",").alias("previous"))
 
 
 def next_bar(spark, d):
-    return closes(spark, d).select("ticker", _us(), F.lead("open").over(SERIES).alias("next_open"), F.coalesce(F.unix_micros(F.lead("timestamp").over(SERIES)), F.unix_micros("timestamp")).alias("fill_at"))
+    return closes(spark, d).select("ticker", _us(), F.lead("open").over(series()).alias("next_open"), F.coalesce(F.unix_micros(F.lead("timestamp").over(series())), F.unix_micros("timestamp")).alias("fill_at"))
 
 
 def running_peak(spark, d):
@@ -135,7 +136,7 @@ def running_peak(spark, d):
 
 
 def trailing_level(spark, d):
-    return closes(spark, d).filter("high is not null").select("ticker", _us(), F.max(F.col("high") * 0.93).over(UPTO).alias("level"))
+    return closes(spark, d).filter("high is not null").select("ticker", _us(), F.max(F.col("high") * 0.93).over(series().rowsBetween(Window.unboundedPreceding, 0)).alias("level"))
 
 
 def first_last_bar(spark, d):
