@@ -77,7 +77,7 @@ def ticker_mentions(spark, d):
 
 def enriched_items(spark, d):
     x = news(spark, d)
-    return x.select("news_id", T.analysis_text(F.col("headline"), F.col("snippet"), 200).alias("analysis_text"), F.length(F.coalesce("snippet", F.lit(""))).alias("snippet_chars"))
+    return x.select("news_id", T.analysis_text(F.col("headline"), F.col("snippet")).alias("analysis_text"), F.length(F.coalesce("snippet", F.lit(""))).alias("snippet_chars"))
 
 
 def clean_text(spark, d):
@@ -216,7 +216,7 @@ def _snaps(spark, d):
 
 
 def _asof(spark, d, **options):
-    bars = closes(spark, d).filter(F.col("timestamp") >= F.lit("2025-02-01").cast("timestamp")).select("ticker", "timestamp", "close")
+    bars = closes(spark, d).select("ticker", "timestamp", "close")
     return asof_join(bars, _snaps(spark, d), by="ticker", left_at="timestamp", right_at="published_at", right_order=["news_id"], **options).select("ticker", _us("timestamp"), "news_id", "sentiment")
 
 
@@ -330,7 +330,7 @@ _CLOSES = """valid AS (SELECT upper(trim(ticker)) AS ticker, epoch_us("timestamp
 def _asof_sql(offset_us: int = 0, condition: str = "true") -> str:
     """Of articles at the same time the last counts, so ties are settled before the as-of join."""
     return f"""{_SCORED}, snaps AS (SELECT ticker, us, max(news_id) AS news_id, arg_max(sentiment, news_id) AS sentiment FROM s WHERE us IS NOT NULL GROUP BY 1, 2), {_CLOSES},
-b AS (SELECT ticker, us, us - {offset_us} AS cut FROM valid WHERE us >= 1738368000000000)
+b AS (SELECT ticker, us, us - {offset_us} AS cut FROM valid)
 SELECT b.ticker, b.us AS "timestamp", CASE WHEN {condition} THEN x.news_id END AS news_id, CASE WHEN {condition} THEN x.sentiment END AS sentiment FROM b ASOF LEFT JOIN snaps x ON b.ticker = x.ticker AND b.cut >= x.us"""
 
 
@@ -345,7 +345,7 @@ WHERE provider IN ('alpaca', 'fmp', 'finnhub') OR (provider = 'rss' AND ticker N
     "window_filter": f"{_N} SELECT news_id, us AS published_at FROM n WHERE published_at IS NULL OR published_at BETWEEN TIMESTAMPTZ '{START}+00' AND TIMESTAMPTZ '{END}+00'",
     "newest_first": f"{_N} SELECT news_id, us AS published_at FROM n ORDER BY us DESC NULLS LAST, news_id LIMIT 20",
     "ticker_mentions": r"""SELECT upper(trim(ticker)) AS ticker, count(*) AS docs, count(*) FILTER (list_contains(regexp_extract_all(upper(text), '[\p{L}\p{N}_]+'), upper(trim(ticker)))) AS mentioning FROM documents WHERE text IS NOT NULL AND trim(ticker) <> '' GROUP BY 1""",
-    "enriched_items": f"{_N} SELECT news_id, substr(concat_ws('. ', CASE WHEN {_BLANK.format(c='headline')} THEN headline END, CASE WHEN {_BLANK.format(c='snippet')} THEN snippet END), 1, 200) AS analysis_text, length(coalesce(snippet, '')) AS snippet_chars FROM n",
+    "enriched_items": f"{_N} SELECT news_id, substr(concat_ws('. ', CASE WHEN {_BLANK.format(c='headline')} THEN headline END, CASE WHEN {_BLANK.format(c='snippet')} THEN snippet END), 1, 800) AS analysis_text, length(coalesce(snippet, '')) AS snippet_chars FROM n",
     "clean_text": r"""SELECT news_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('<p>See https://x.example/a?b=1 ' || snippet || '</p>  Really?! ...', '<[^>]+>', ' ', 'g'), 'https?://\S+', '', 'g'), '[!?.]+([!?.])', '\1', 'g'), '\s+', ' ', 'g')) AS text FROM news WHERE snippet IS NOT NULL""",
     "headline_fingerprint": r"""SELECT news_id, substr(md5(trim(regexp_replace(regexp_replace(lower(headline), '[^a-z0-9 ]', '', 'g'), '\s+', ' ', 'g'))), 1, 12) AS fingerprint FROM news WHERE headline IS NOT NULL""",
     "content_hash": f"""{_N} SELECT news_id, substr(sha256(coalesce(ticker, '') || '|' || coalesce(headline, '') || '|' || coalesce(snippet, '') || '|' ||

@@ -50,9 +50,10 @@ def bars_valid(spark, d):
 
 
 def bars_scan(spark, d):
-    """Filters and columns reach the scan."""
-    x = read(spark, d, "daily_bars").filter((F.col("ticker") == "QZAR") & (F.col("timestamp") >= F.lit("2024-06-01").cast("timestamp")) & (F.col("timestamp") < F.lit("2024-09-01").cast("timestamp")))
-    return x.select("bar_id", _us(), "close")
+    """Bars asked for by ticker and period; every ticker asks for the year up to its last bar."""
+    x = daily(spark, d).select("bar_id", "ticker", "timestamp", "close")
+    asked = x.groupBy("ticker").agg(F.max("timestamp").alias("until"))
+    return x.join(asked, "ticker").filter(F.col("timestamp") > F.col("until") - F.expr("interval 365 days")).select("bar_id", "ticker", _us(), "close")
 
 
 def source_fallback(spark, d):
@@ -144,7 +145,7 @@ def first_last_bar(spark, d):
 
 
 def benchmark_curve(spark, d):
-    return P.curve(closes(spark, d).filter("ticker = 'QZAR'")).select(_us(), r6(F.col("growth") * 100000, "equity"), r6(F.coalesce("change", F.lit(0.0)), "change"))
+    return P.curve(closes(spark, d)).select("ticker", _us(), r6(F.col("growth") * 100000, "equity"), r6(F.coalesce("change", F.lit(0.0)), "change"))
 
 
 def curve_vs_benchmark(spark, d):
@@ -338,7 +339,7 @@ SQL = {
   FROM daily_bars WHERE NOT ("open" IS NULL AND high IS NULL AND low IS NULL AND "close" IS NULL)
 ) WHERE nth = 1""",
     "bars_valid": f"{_D} SELECT bar_id, ticker, us AS \"timestamp\", \"close\", volume FROM valid",
-    "bars_scan": "SELECT bar_id, epoch_us(\"timestamp\") AS \"timestamp\", \"close\" FROM daily_bars WHERE ticker = 'QZAR' AND \"timestamp\" >= TIMESTAMPTZ '2024-06-01 00:00:00+00' AND \"timestamp\" < TIMESTAMPTZ '2024-09-01 00:00:00+00'",
+    "bars_scan": f"{_D} SELECT bar_id, ticker, us AS \"timestamp\", \"close\" FROM valid QUALIFY us > max(us) OVER (PARTITION BY ticker) - 365 * 86400000000",
     "source_fallback": f"""{_D}, x AS (SELECT *, us // 86400000000 AS day FROM valid), p AS (SELECT DISTINCT ticker, day FROM x WHERE NOT is_fallback)
 SELECT ticker, is_fallback, count(*) AS bars FROM x WHERE NOT is_fallback OR (ticker, day) NOT IN (SELECT (ticker, day) FROM p) GROUP BY ticker, is_fallback""",
     "latest_price": f"""{_D}, l AS (SELECT ticker, is_fallback, arg_max("close", us) AS p, arg_max(source, us) AS s FROM valid WHERE "close" IS NOT NULL GROUP BY 1, 2)
@@ -372,7 +373,7 @@ SELECT v.ticker, v.us AS "timestamp", round(pd, 6) AS plus_di, round(md, 6) AS m
     "running_peak": f"{_CURVE} SELECT ticker, us AS \"timestamp\", peak, round(drop_, 6) AS drop FROM drops",
     "trailing_level": f"{_C} SELECT ticker, us AS \"timestamp\", max(high * 0.93) OVER (PARTITION BY ticker ORDER BY us ROWS UNBOUNDED PRECEDING) AS level FROM c WHERE high IS NOT NULL",
     "first_last_bar": f"{_C} SELECT ticker, arg_min(\"close\", us) AS first_close, arg_max(\"close\", us) AS last_close, count(*) AS bars FROM c GROUP BY ticker",
-    "benchmark_curve": f"{_CURVE} SELECT us AS \"timestamp\", round(growth * 100000, 6) AS equity, round(coalesce(change, 0.0), 6) AS change FROM curve WHERE ticker = 'QZAR'",
+    "benchmark_curve": f"{_CURVE} SELECT ticker, us AS \"timestamp\", round(growth * 100000, 6) AS equity, round(coalesce(change, 0.0), 6) AS change FROM curve",
     "curve_vs_benchmark": f"""{_CURVE}, x AS (SELECT ticker, us // 86400000000 AS day, growth FROM curve), b AS (SELECT day, growth AS bench FROM x WHERE ticker = 'QZAR')
 SELECT x.ticker, strftime(DATE '1970-01-01' + CAST(x.day AS INTEGER), '%Y-%m-%d') AS day, round(growth, 6) AS growth, round(bench, 6) AS benchmark FROM x LEFT JOIN b ON x.day = b.day""",
     "performance": f"""{_CURVE}, s AS (
