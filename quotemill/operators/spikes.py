@@ -28,13 +28,14 @@ class SpikeModel:
     stay_stuck: float = 0.9
     stay_out: float = 0.2
     same_by_chance: float = 0.01  # chance that a normal value repeats its neighbour exactly
-    price_scale: float = 1.0  # usual size of a two-sided price move, in median moves
+    price_scale: float = 0.75  # usual size of a two-sided price move, in median moves
     price_top: float = 1e4
     volume_scale: float = 0.33  # usual size of a log volume ratio
     volume_top: float = 16.0
     volume_near: int = 10  # bars on either side that give the ordinary volume
     max_spike: int = 2  # bars after which a spike must have come back
-    returned: float = 0.5  # part of the move that may remain after it
+    returned: float = 0.95  # part of the move that may remain after it, as when the level changed meanwhile
+    apart: float = 0.5  # part of the move by which a spike must leave the level around it
     level_near: int = 5  # bars on either side that give the level of prices
     least_move: float = 0.02  # a price move below 2 % is never a spike
     run: int = 5  # equal values that count as stuck
@@ -70,7 +71,7 @@ def price_scores(close: np.ndarray, m: SpikeModel) -> np.ndarray:
         k = m.level_near
         padded = np.concatenate([np.full(k, np.nan), x, np.full(k, np.nan)])
         near = np.stack([padded[j : j + len(x)] for j in range(2 * k + 1) if j != k])
-        s[np.abs(x - np.nanmedian(near, axis=0)) < m.returned * s * usual] = 0.0
+        s[np.abs(x - np.nanmedian(near, axis=0)) < m.apart * s * usual] = 0.0
     score[at] = s
     return score
 
