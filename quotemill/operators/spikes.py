@@ -24,7 +24,7 @@ class SpikeModel:
     block: int = 512  # bars of a source that one task looks at
     halo: int = 128  # further bars on either side, for context only
     start: float = 0.002  # chance that a normal bar is followed by each other state
-    stay_spike: float = 0.2
+    stay_spike: float = 0.02
     stay_stuck: float = 0.9
     stay_out: float = 0.2
     same_by_chance: float = 0.01  # chance that a normal value repeats its neighbour exactly
@@ -34,7 +34,9 @@ class SpikeModel:
     volume_top: float = 16.0
     volume_near: int = 10  # bars on either side that give the ordinary volume
     max_spike: int = 2  # bars after which a spike must have come back
-    returned: float = 0.95  # part of the move that may remain after it, as when the level changed meanwhile
+    returned: float = 0.5  # part of the move that may remain after a clear spike
+    returned_late: float = 0.95  # and after others, where the level changed meanwhile
+    clear: float = 8.0  # score from which a spike is told first
     apart: float = 0.5  # part of the move by which a spike must leave the level around it
     level_near: int = 5  # bars on either side that give the level of prices
     least_move: float = 0.02  # a price move below 2 % is never a spike
@@ -45,8 +47,31 @@ def _median(x: np.ndarray) -> float:
     return float(np.median(x)) if len(x) else math.nan
 
 
+def _excursions(x: np.ndarray, usual: float, returned: float, m: SpikeModel) -> np.ndarray:
+    """For each log price, its least distance in usual moves to the prices before and after an excursion of at most max_spike bars that it is part of; 0 where more than `returned` of the move remains."""
+    s = np.zeros(len(x))
+    for n in range(1, m.max_spike + 1):
+        if len(x) < n + 2:
+            break
+        before, after = x[: -n - 1], x[n + 1 :]
+        inside = np.stack([x[1 + j : len(x) - n + j] for j in range(n)])
+        up = np.minimum(inside - before, inside - after).min(axis=0)
+        down = np.minimum(before - inside, after - inside).min(axis=0)
+        dev = np.maximum(up, down)
+        ok = (dev > m.least_move) & (np.abs(after - before) <= returned * dev)
+        dev = np.where(ok, dev / usual, 0.0)
+        for j in range(n):
+            np.maximum(s[1 + j : len(x) - n + j], dev, out=s[1 + j : len(x) - n + j])
+    # A normal bar between two spikes is far from both, but not from the level around it.
+    k = m.level_near
+    padded = np.concatenate([np.full(k, np.nan), x, np.full(k, np.nan)])
+    near = np.stack([padded[j : j + len(x)] for j in range(2 * k + 1) if j != k])
+    s[np.abs(x - np.nanmedian(near, axis=0)) < m.apart * s * usual] = 0.0
+    return s
+
+
 def price_scores(close: np.ndarray, m: SpikeModel) -> np.ndarray:
-    """How far each close lies, in usual moves, from the closes both before and after its excursion of at most max_spike bars; 0 where it didn't come back. NaN where there is no positive close."""
+    """How far each close lies, in usual moves, from the closes both before and after its excursion. Clear excursions are told first; the others are then measured without them, and may come back to a level that changed meanwhile. NaN where there is no positive close."""
     score = np.full(len(close), np.nan)
     at = np.flatnonzero(close > 0)
     x = np.log(close[at])
@@ -55,23 +80,10 @@ def price_scores(close: np.ndarray, m: SpikeModel) -> np.ndarray:
         moves = np.abs(np.diff(x))
         usual = _median(moves[moves > 0])
         usual = max(usual if usual == usual else 0.0, 1e-4)
-        for n in range(1, m.max_spike + 1):
-            if len(x) < n + 2:
-                break
-            before, after = x[: -n - 1], x[n + 1 :]
-            inside = np.stack([x[1 + j : len(x) - n + j] for j in range(n)])
-            up = np.minimum(inside - before, inside - after).min(axis=0)
-            down = np.minimum(before - inside, after - inside).min(axis=0)
-            dev = np.maximum(up, down)
-            ok = (dev > m.least_move) & (np.abs(after - before) <= m.returned * dev)
-            dev = np.where(ok, dev / usual, 0.0)
-            for j in range(n):
-                np.maximum(s[1 + j : len(x) - n + j], dev, out=s[1 + j : len(x) - n + j])
-        # A normal bar between two spikes is far from both, but not from the level around it.
-        k = m.level_near
-        padded = np.concatenate([np.full(k, np.nan), x, np.full(k, np.nan)])
-        near = np.stack([padded[j : j + len(x)] for j in range(2 * k + 1) if j != k])
-        s[np.abs(x - np.nanmedian(near, axis=0)) < m.apart * s * usual] = 0.0
+        s = _excursions(x, usual, m.returned, m)
+        rest = s < m.clear
+        if rest.sum() >= 3:
+            s[rest] = _excursions(x[rest], usual, m.returned_late, m)
     score[at] = s
     return score
 
