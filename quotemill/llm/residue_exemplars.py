@@ -198,6 +198,7 @@ asdf asdf qwer asdf zxcv asdf qwerty
 Texte provisoire à remplacer par l'article
 Texte de remplissage, faux texte
 Platzhaltertext, hier steht später der Artikel
+Blindtext, hier steht später der Artikel
 Dies ist ein Blindtext, Beispieltext
 Texto de relleno, sustituir antes de publicar
 Texto provisional que se sustituirá por el artículo
