@@ -67,6 +67,21 @@ def lexicon_scores(text: Column) -> tuple[Column, Column]:
     return label_of((up - down).cast("double"), 0.0), clamp(F.abs(up - down) * 10.0 / F.nullif(up + down, F.lit(0)), 0.0, 10.0)
 
 
+class WordScorer:
+    """lexicon_scores as a Scorer, for use behind or instead of a model."""
+
+    name = "words"
+
+    def available(self) -> bool:
+        return True
+
+    def score(self, texts: pd.Series) -> pd.DataFrame:
+        words = texts.fillna("").str.lower().str.findall("[a-z]+")
+        up, down = (words.map(lambda ws, listed=frozenset(x): sum(w in listed for w in ws)) for x in (POSITIVE_WORDS, NEGATIVE_WORDS))
+        label = (up - down).map(lambda d: "POSITIVE" if d > 0 else "NEGATIVE" if d < 0 else "NEUTRAL")
+        return pd.DataFrame({"sentiment": label.to_list(), "conviction": (abs(up - down) * 10.0 / (up + down).where(up + down > 0, 1)).to_list()})
+
+
 def recency_weight(published: Column, reference: Column, decay: float = DECAY) -> Column:
     age = F.when(published.isNotNull(), F.greatest(hours_between(reference, published), F.lit(0.0)))
     return F.coalesce(F.exp(-age * decay), F.lit(UNKNOWN_AGE_WEIGHT))

@@ -162,6 +162,21 @@ def article_sentiment(spark, d):
     return scored(spark, d).select("news_id", "sentiment", F.round("conviction", 6).alias("conviction"), "relevance")
 
 
+def batch_scores(spark, d):
+    """Scores of a scorer object in Arrow batches, as a model would be run."""
+    x = news(spark, d).filter(F.col("ticker").isNotNull() & blank_to_null(F.col("headline")).isNotNull())
+    y = S.score_with(x.select("news_id", F.concat_ws(" ", "headline", "snippet").alias("analysis_text")), [S.WordScorer()], batch=256)
+    return y.select("news_id", "sentiment", F.round("conviction", 6).alias("conviction"), "scored_by")
+
+
+def signal_reasons(spark, d):
+    """A sentence on each signal: counts by label and the article that weighs most."""
+    x = _clustered(spark, d)
+    n = lambda s: F.count_if(F.col("sentiment") == s)
+    top = F.max_by("headline", F.struct("conviction", -F.col("news_id")))
+    return x.groupBy("ticker", "day").agg(F.format_string("%d positive, %d negative, %d neutral in %d events; most: %s", n("POSITIVE"), n("NEGATIVE"), n("NEUTRAL"), F.countDistinct("cluster"), F.substring(top, 1, 120)).alias("reason"))
+
+
 def label_histogram(spark, d):
     x = scored(spark, d).groupBy("ticker").agg(*[F.count_if(F.col("sentiment") == s).alias(s.lower()) for s in ("POSITIVE", "NEGATIVE", "NEUTRAL")], F.max_by("news_id", F.struct("conviction", -F.col("news_id"))).alias("top_article"))
     return x
@@ -294,7 +309,7 @@ QUERIES = {
     for f in (
         valid_articles, article_checks, filled_articles, provider_union, provider_histogram, window_filter, newest_first, ticker_mentions, enriched_items, clean_text, clean_headline,
         headline_fingerprint, content_hash, title_source, related_tickers, cache_keys, safe_numbers, json_roundtrip, csv_lines, dedup_url, dedup_similar, dedup_three_pass, jaccard_pairs,
-        article_sentiment, label_histogram, recency_weights, event_clusters, daily_sentiment, rolling_sentiment, quiet_days, peer_strength, asof_sentiment, asof_offset, asof_tolerance, lookahead_audit,
+        article_sentiment, batch_scores, signal_reasons, label_histogram, recency_weights, event_clusters, daily_sentiment, rolling_sentiment, quiet_days, peer_strength, asof_sentiment, asof_offset, asof_tolerance, lookahead_audit,
         cache_split, latest_scores, breaker_spells, news_months, set_operations, events_tumbling, events_sliding, events_sessions, late_rows,
     )
 }
@@ -358,6 +373,9 @@ WHERE provider IN ('alpaca', 'fmp', 'finnhub') OR (provider = 'rss' AND ticker N
     "dedup_url": f"{_N} SELECT news_id FROM n WHERE NOT coalesce({_BLANK.format(c='url')}, false) UNION ALL SELECT min(news_id) FROM n WHERE {_BLANK.format(c='url')} GROUP BY ticker, url",
     "jaccard_pairs": f"{_N}, {_PAIRS.format(source='n', group='a.day = b.day AND')} SELECT a, b, round(m / (t - m), 6) AS overlap FROM pairs WHERE m * 8 >= t * 3",
     "article_sentiment": f"{_SCORED} SELECT news_id, sentiment, round(conviction, 6) AS conviction, relevance FROM s",
+    "batch_scores": f"{_SCORED} SELECT news_id, sentiment, round(conviction, 6) AS conviction, 'words' AS scored_by FROM s",
+    "signal_reasons": f"""{_CLUSTERS} SELECT ticker, day, printf('%d positive, %d negative, %d neutral in %d events; most: %s', count(*) FILTER (sentiment = 'POSITIVE'), count(*) FILTER (sentiment = 'NEGATIVE'), count(*) FILTER (sentiment = 'NEUTRAL'),
+  count(DISTINCT cluster), substr(arg_max(headline, (conviction, -news_id)), 1, 120)) AS reason FROM sd JOIN cl USING (news_id) GROUP BY ticker, day""",
     "label_histogram": f"{_SCORED} SELECT ticker, count(*) FILTER (sentiment = 'POSITIVE') AS positive, count(*) FILTER (sentiment = 'NEGATIVE') AS negative, count(*) FILTER (sentiment = 'NEUTRAL') AS neutral, arg_max(news_id, (conviction, -news_id)) AS top_article FROM s GROUP BY ticker",
     "recency_weights": f"{_N}, x AS (SELECT news_id, (epoch_us(TIMESTAMPTZ '{END}+00') - us) / 3.6e9 AS age FROM n) SELECT news_id, round(CASE WHEN age IS NULL THEN 0.5 ELSE exp(-0.08 * greatest(age, 0.0)) END, 6) AS weight, round(age, 9) AS age_hours FROM x",
     "event_clusters": f"{_CLUSTERS} SELECT news_id, cluster, cluster_size FROM cl",

@@ -165,6 +165,22 @@ def trade_summary(spark, d):
     return s.select("ticker", "n", "wins", "losses", *[r6(c, c) for c in ("win_rate", "profit_factor", "avg_win", "avg_loss", "best", "worst", "total")])
 
 
+def comparison(spark, d):
+    """Measures of every ticker as rows, next to those of the benchmark."""
+    s = P.summary(P.curve(closes(spark, d)))
+    long = s.unpivot("ticker", ["total_return", "annual_return", "max_drawdown", "sharpe", "calmar"], "measure", "value")
+    bench = long.filter("ticker = 'QZAR'").select("measure", F.col("value").alias("benchmark"))
+    return long.join(F.broadcast(bench), "measure", "left").select("ticker", "measure", r6("value", "value"), r6("benchmark", "benchmark"))
+
+
+def formatted_summary(spark, d):
+    """Measures as they are printed; what is unknown as n/a."""
+    s = P.summary(P.curve(closes(spark, d)))
+    percent = lambda c: F.coalesce(F.format_string("%.1f%%", F.round(F.col(c) * 100, 1)), F.lit("n/a"))
+    number = lambda c: F.coalesce(F.format_string("%.2f", F.round(c, 2)), F.lit("n/a"))
+    return s.select("ticker", percent("total_return").alias("total_return"), percent("max_drawdown").alias("max_drawdown"), number("sharpe").alias("sharpe"))
+
+
 def exposure(spark, d):
     return daily(spark, d).groupBy("ticker").agg((F.count_if(F.col("volume") > 0) / F.count("*")).alias("exposure"), F.count("*").alias("bars"))
 
@@ -278,6 +294,8 @@ QUERIES = {
     "curve_vs_benchmark": curve_vs_benchmark,
     "performance": performance,
     "trade_summary": trade_summary,
+    "comparison": comparison,
+    "formatted_summary": formatted_summary,
     "exposure": exposure,
     "activity": activity,
     "most_active": most_active,
@@ -333,6 +351,11 @@ recent AS (SELECT as_of, ticker, money, row_number() OVER (PARTITION BY as_of, t
 scored AS (SELECT as_of, ticker, avg(money) AS mv FROM recent WHERE nth <= 60 GROUP BY 1, 2),
 lead4 AS (SELECT as_of, ticker, row_number() OVER (PARTITION BY as_of ORDER BY mv DESC, ticker) AS place FROM scored QUALIFY place <= 4)"""
 
+_PERFORMANCE = f"""{_CURVE}, s AS (
+  SELECT ticker, count(*) AS bars, arg_max(growth, us) - 1 AS tr, least(min(drop_), 0.0) AS dd, avg(change) / nullif(stddev_samp(change), 0) * sqrt(252) AS sh,
+  CASE WHEN count(*) FILTER (change < 0) >= 2 THEN stddev_samp(change) FILTER (change < 0) * sqrt(252) END AS dn FROM drops GROUP BY ticker
+), a AS (SELECT *, CASE WHEN bars > 1 AND tr > -1 THEN pow(1 + tr, 252.0 / (bars - 1)) - 1 END AS ar FROM s)"""
+
 SQL = {
     "bars_clean": """SELECT bar_id, ticker, us AS "timestamp", "open", high, low, "close", volume FROM (
   SELECT *, upper(trim(ticker)) AS ticker_, epoch_us("timestamp") AS us, row_number() OVER (PARTITION BY upper(trim(ticker)), "timestamp" ORDER BY bar_id, volume NULLS LAST, "close" NULLS LAST) AS nth
@@ -376,11 +399,10 @@ SELECT v.ticker, v.us AS "timestamp", round(pd, 6) AS plus_di, round(md, 6) AS m
     "benchmark_curve": f"{_CURVE} SELECT ticker, us AS \"timestamp\", round(growth * 100000, 6) AS equity, round(coalesce(change, 0.0), 6) AS change FROM curve",
     "curve_vs_benchmark": f"""{_CURVE}, x AS (SELECT ticker, us // 86400000000 AS day, growth FROM curve), b AS (SELECT day, growth AS bench FROM x WHERE ticker = 'QZAR')
 SELECT x.ticker, strftime(DATE '1970-01-01' + CAST(x.day AS INTEGER), '%Y-%m-%d') AS day, round(growth, 6) AS growth, round(bench, 6) AS benchmark FROM x LEFT JOIN b ON x.day = b.day""",
-    "performance": f"""{_CURVE}, s AS (
-  SELECT ticker, count(*) AS bars, arg_max(growth, us) - 1 AS tr, least(min(drop_), 0.0) AS dd, avg(change) / nullif(stddev_samp(change), 0) * sqrt(252) AS sh,
-  CASE WHEN count(*) FILTER (change < 0) >= 2 THEN stddev_samp(change) FILTER (change < 0) * sqrt(252) END AS dn FROM drops GROUP BY ticker
-), a AS (SELECT *, CASE WHEN bars > 1 AND tr > -1 THEN pow(1 + tr, 252.0 / (bars - 1)) - 1 END AS ar FROM s)
-SELECT ticker, bars, round(tr, 6) AS total_return, round(ar, 6) AS annual_return, round(dd, 6) AS max_drawdown, round(sh, 6) AS sharpe, round(dn, 6) AS downside, round(ar / nullif(abs(dd), 0), 6) AS calmar FROM a""",
+    "performance": f"""{_PERFORMANCE} SELECT ticker, bars, round(tr, 6) AS total_return, round(ar, 6) AS annual_return, round(dd, 6) AS max_drawdown, round(sh, 6) AS sharpe, round(dn, 6) AS downside, round(ar / nullif(abs(dd), 0), 6) AS calmar FROM a""",
+    "comparison": f"""{_PERFORMANCE}, l AS (SELECT ticker, unnest(['total_return', 'annual_return', 'max_drawdown', 'sharpe', 'calmar']) AS measure, unnest([tr, ar, dd, sh, ar / nullif(abs(dd), 0)]) AS v FROM a)
+SELECT l.ticker, l.measure, round(l.v, 6) AS value, round(b.v, 6) AS benchmark FROM l LEFT JOIN l b ON b.measure = l.measure AND b.ticker = 'QZAR'""",
+    "formatted_summary": f"""{_PERFORMANCE} SELECT ticker, coalesce(printf('%.1f%%', round(tr * 100, 1)), 'n/a') AS total_return, coalesce(printf('%.1f%%', round(dd * 100, 1)), 'n/a') AS max_drawdown, coalesce(printf('%.2f', round(sh, 2)), 'n/a') AS sharpe FROM a""",
     "trade_summary": f"""{_R} SELECT ticker, count(*) AS n, count(*) FILTER (r > 0) AS wins, count(*) FILTER (r < 0) AS losses, round(count(*) FILTER (r > 0) / count(*), 6) AS win_rate,
   round(coalesce(sum(r) FILTER (r > 0), 0) / nullif(abs(sum(r) FILTER (r < 0)), 0), 6) AS profit_factor, round(avg(r) FILTER (r > 0), 6) AS avg_win, round(avg(r) FILTER (r <= 0), 6) AS avg_loss,
   round(max(r), 6) AS best, round(min(r), 6) AS worst, round(sum(r), 6) AS total FROM r WHERE r IS NOT NULL GROUP BY ticker""",
