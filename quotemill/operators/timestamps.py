@@ -59,8 +59,8 @@ class Penalties:
 
 
 def _fields(s: Column, pattern: str, order: str) -> Column:
-    """The nine parts of s as strings, empty where absent; null if s has another shape."""
-    return F.when(s.rlike(pattern), F.split(F.regexp_replace(s, pattern, _SEP.join(f"${g}" for g in order.split())), _SEP, -1))
+    """The nine parts of a text of the given shape as strings, empty where absent."""
+    return F.split(F.regexp_replace(s, pattern, _SEP.join(f"${g}" for g in order.split())), _SEP, -1)
 
 
 def _number(c: Column, kind: str = "int") -> Column:
@@ -123,12 +123,14 @@ def interpretations(stamp: Column, zone: Column, date_order: Column, penalties:
     n = F.length(digits)
     padded = F.rpad(F.concat(digits, fraction), F.when(n <= 11, n + 6).when(n <= 14, n + 3).when(n <= 17, n).otherwise(n - 3), "0")
     epoch = F.when(s.rlike(r"^\d+(\.\d+)?$") & ~s.rlike(r"^\d{8}$"), F.struct(F.concat(F.lit("epoch_"), F.when(n <= 11, "s").when(n <= 14, "ms").when(n <= 17, "us").otherwise("ns")).alias("fmt"), padded.try_cast("long").alias("utc_us"), F.lit(0.0).alias("cost")))
-    texts = [(F.lit(name), _fields(s, pattern, order), F.lit(True)) for name, pattern, order in _SHAPES]
     order = F.upper(F.trim(date_order))
-    both = ~F.coalesce(order.isin("MDY", "DMY"), F.lit(False))
-    texts += [(F.lit("slash_mdy"), _fields(s, _SLASHED, "3 1 2 4 5 6 7 8 9"), both | (order == "MDY")), (F.lit("slash_dmy"), _fields(s, _SLASHED, "3 2 1 4 5 6 7 8 9"), both | (order == "DMY"))]
-    # Shapes exclude each other, so the parts are taken from whichever fits; only slashed dates may have two readings.
-    shaped = F.filter(F.array(*[F.when(p.isNotNull() & allowed, F.struct(fmt.alias("fmt"), p.alias("p"))) for fmt, p, allowed in texts]), lambda x: x.isNotNull())
+    one = lambda fmt, groups, pattern: F.struct(F.lit(fmt).alias("fmt"), _fields(s, pattern, groups).alias("p"))
+    mdy, dmy = one("slash_mdy", "3 1 2 4 5 6 7 8 9", _SLASHED), one("slash_dmy", "3 2 1 4 5 6 7 8 9", _SLASHED)
+    # Shapes exclude each other: the first that fits is the only one, and only slashed dates may have two readings.
+    shaped = F.when(s.rlike(_SHAPES[0][1]), F.array(one(_SHAPES[0][0], _SHAPES[0][2], _SHAPES[0][1])))
+    for name, pattern, groups in _SHAPES[1:]:
+        shaped = shaped.when(s.rlike(pattern), F.array(one(name, groups, pattern)))
+    shaped = shaped.when(s.rlike(_SLASHED), F.when(order == "MDY", F.array(mdy)).when(order == "DMY", F.array(dmy)).otherwise(F.array(mdy, dmy)))
     read = F.flatten(F.transform(shaped, lambda x: F.coalesce(_zoned(x["p"], x["fmt"], zone, penalties), F.array().cast("array<struct<fmt:string,utc_us:bigint,cost:double>>"))))
     return F.when(epoch.isNotNull(), F.filter(F.array(epoch), lambda c: c["utc_us"].isNotNull())).otherwise(F.coalesce(read, F.array().cast("array<struct<fmt:string,utc_us:bigint,cost:double>>")))
 
@@ -210,9 +212,10 @@ def normalise_timestamps(
     rows = df.select(F.col(key).alias("__key"), F.col(feed).alias("__feed"), F.col(received).alias("__at"), F.coalesce(*[F.col(c) for c in stamps]).alias("__stamp"))
     rows = rows.filter(blank_to_null(F.col("__stamp")).isNotNull()).join(broadcast_within(known, MAX_BROADCAST_FEEDS), "__feed", "left")
     least = F.array_min(F.transform("__c", lambda c: c["cost"]))
-    read = rows.withColumn("__c", interpretations(F.col("__stamp"), F.col("__zone"), F.col("__order"), penalties)).filter(F.size("__c") > 0)
+    # Rows without an interpretation are dropped after the cut: a filter before it would have all of them made twice.
+    read = rows.withColumn("__c", interpretations(F.col("__stamp"), F.col("__zone"), F.col("__order"), penalties))
     kept = read.select("__key", "__feed", "__at", F.size("__c").alias("__n"), F.filter("__c", lambda c: c["cost"] <= least + penalties.slack).alias("__c"))
-    kept = cut(kept.select("__key", "__feed", "__at", "__n", F.col("__c.fmt").alias("__fmt"), F.col("__c.utc_us").alias("__us"), F.col("__c.cost").alias("__cost")))
+    kept = cut(kept.select("__key", "__feed", "__at", "__n", F.col("__c.fmt").alias("__fmt"), F.col("__c.utc_us").alias("__us"), F.col("__c.cost").alias("__cost"))).filter("__n > 0")
     spark = df.sparkSession
     ship(spark)
     blocks = max(1, kept.count() // ROWS_PER_BLOCK + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
