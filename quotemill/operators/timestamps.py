@@ -101,8 +101,10 @@ def _zoned(p: Column, fmt: Column, feed_zone: Column, penalties: Penalties) -> C
     wall = F.timestamp_micros(local)
     utc = F.to_utc_timestamp(wall, zone)
     exists = (F.from_utc_timestamp(utc, zone) == wall) | (p[3] == "")
-    # Where the clock is set back, the same wall clock time comes again within three hours.
-    later = F.coalesce(*[F.when(F.from_utc_timestamp(F.timestamp_micros(F.unix_micros(utc) + m * 60_000_000), zone) == wall, F.unix_micros(utc) + m * 60_000_000) for m in (30, 60, 120)])
+    # Where the clock is set back within three hours, the same wall clock time may come again.
+    in_3h = F.unix_micros(utc) + 3 * 3_600_000_000
+    set_back = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(in_3h), zone)) - in_3h < local - F.unix_micros(utc)
+    later = F.when(set_back, F.coalesce(*[F.when(F.from_utc_timestamp(F.timestamp_micros(F.unix_micros(utc) + m * 60_000_000), zone) == wall, F.unix_micros(utc) + m * 60_000_000) for m in (60, 30, 120)]))
     single = lambda us, cost: F.when(us.isNotNull(), F.struct(fmt.alias("fmt"), us.alias("utc_us"), F.lit(cost).alias("cost")))
     by_offset = F.array(single(local - seconds.cast("long") * 1_000_000, 0.0))
     by_zone = F.when(exists, F.array(single(F.unix_micros(utc), 0.0), single(later, penalties.rule)))
