@@ -12,7 +12,7 @@ from quotemill.llm.residue import residue_marks
 from quotemill.llm.segment_index import SegmentIndex, repeats
 from quotemill.llm.vptree import classes, expanded_pairs, near_duplicates
 from quotemill.operators.deliveries import latest_deliveries
-from quotemill.session import read
+from quotemill.session import broadcast_within, cut, read
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,13 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))[1]
 
 
+def p9_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares when as many tokens are asked for as the listed sources hold: small sources run out."""
+    documents, targets = read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets")
+    sizes = cut(count_tokens(documents.select("doc_id", "source", "text").join(broadcast_within(targets.select("source"), 10_000), "source", "left_semi")))
+    return mix_sources(documents, targets, token_counts=sizes, budget=int(sizes.agg(F.sum("n_tokens")).first()[0] or 0))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_marks(read(spark, sf_dir, "documents")).filter("residue").select("doc_id")
 
@@ -70,6 +77,7 @@ QUERIES = {
     "p8_lengths": p8_lengths,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_all": p9_all,
     "p10_found": p10_found,
     "p10_kept": p10_kept,
 }
