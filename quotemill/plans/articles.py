@@ -28,6 +28,11 @@ def _us(c: str, name: str | None = None):
     return F.unix_micros(c).alias(name or c)
 
 
+def _us_or(c: str, default: int = -1):
+    """Whole numbers without nulls, which engines hand over in different types."""
+    return F.coalesce(F.unix_micros(c), F.lit(default)).alias(c)
+
+
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News with normalised tickers and the UTC day of publication."""
     return read(spark, sf_dir, "news").withColumn("ticker", entity_key(F.col("ticker"))).withColumn("day", F.date_format(utc_day(F.col("published_at")), "yyyy-MM-dd"))
@@ -35,7 +40,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def valid_articles(spark, d):
     x = news(spark, d)
-    return x.filter(x["ticker"].isNotNull() & blank_to_null(F.col("headline")).isNotNull()).select("news_id", "ticker", "provider", _us("published_at"))
+    return x.filter(x["ticker"].isNotNull() & blank_to_null(F.col("headline")).isNotNull()).select("news_id", "ticker", "provider", _us_or("published_at"))
 
 
 def article_checks(spark, d):
@@ -62,7 +67,7 @@ def provider_histogram(spark, d):
 
 
 def window_filter(spark, d):
-    return news(spark, d).filter(within(F.col("published_at"), F.lit(START).cast("timestamp"), F.lit(END).cast("timestamp"))).select("news_id", _us("published_at"))
+    return news(spark, d).filter(within(F.col("published_at"), F.lit(START).cast("timestamp"), F.lit(END).cast("timestamp"))).select("news_id", _us_or("published_at"))
 
 
 def newest_first(spark, d):
@@ -123,7 +128,7 @@ def json_roundtrip(spark, d):
     x = news(spark, d).select("news_id", "ticker", "headline", "published_at", "related_tickers")
     text = x.select(F.to_json(F.struct("*")).alias("j"))
     back = text.select(F.from_json("j", "news_id long, ticker string, headline string, published_at timestamp, related_tickers array<string>").alias("r")).select("r.*")
-    return back.select("news_id", "ticker", "headline", F.unix_millis("published_at").alias("published_ms"), F.size(F.coalesce("related_tickers", F.array())).alias("related"))
+    return back.select("news_id", "ticker", "headline", F.coalesce(F.unix_millis("published_at"), F.lit(-1)).alias("published_ms"), F.size(F.coalesce("related_tickers", F.array())).alias("related"))
 
 
 def csv_lines(spark, d):
@@ -232,7 +237,7 @@ def _snaps(spark, d):
 
 def _asof(spark, d, **options):
     bars = closes(spark, d).select("ticker", "timestamp", "close")
-    return asof_join(bars, _snaps(spark, d), by="ticker", left_at="timestamp", right_at="published_at", right_order=["news_id"], **options).select("ticker", _us("timestamp"), "news_id", "sentiment")
+    return asof_join(bars, _snaps(spark, d), by="ticker", left_at="timestamp", right_at="published_at", right_order=["news_id"], **options).select("ticker", _us("timestamp"), F.coalesce("news_id", F.lit(-1)).alias("news_id"), "sentiment")
 
 
 def asof_sentiment(spark, d):
@@ -260,7 +265,7 @@ def cache_split(spark, d):
     old = latest_by(read(spark, d, "news").filter("headline is not null").select(h(None).alias("content_hash"), "news_id"), "content_hash", "news_id").withColumnRenamed("news_id", "scored_as")
     items = read(spark, d, "news_incoming").filter("headline is not null").select("news_id", h(None).alias("content_hash"))
     hit, miss = scored_and_new(items, old)
-    return hit.select("news_id", "scored_as", F.lit(True).alias("cached")).unionByName(miss.select("news_id", F.lit(None).cast("long").alias("scored_as"), F.lit(False).alias("cached")))
+    return hit.select("news_id", "scored_as", F.lit(True).alias("cached")).unionByName(miss.select("news_id", F.lit(-1).cast("long").alias("scored_as"), F.lit(False).alias("cached")))
 
 
 def latest_scores(spark, d):
@@ -346,18 +351,18 @@ def _asof_sql(offset_us: int = 0, condition: str = "true") -> str:
     """Of articles at the same time the last counts, so ties are settled before the as-of join."""
     return f"""{_SCORED}, snaps AS (SELECT ticker, us, max(news_id) AS news_id, arg_max(sentiment, news_id) AS sentiment FROM s WHERE us IS NOT NULL GROUP BY 1, 2), {_CLOSES},
 b AS (SELECT ticker, us, us - {offset_us} AS cut FROM valid)
-SELECT b.ticker, b.us AS "timestamp", CASE WHEN {condition} THEN x.news_id END AS news_id, CASE WHEN {condition} THEN x.sentiment END AS sentiment FROM b ASOF LEFT JOIN snaps x ON b.ticker = x.ticker AND b.cut >= x.us"""
+SELECT b.ticker, b.us AS "timestamp", coalesce(CASE WHEN {condition} THEN x.news_id END, -1) AS news_id, CASE WHEN {condition} THEN x.sentiment END AS sentiment FROM b ASOF LEFT JOIN snaps x ON b.ticker = x.ticker AND b.cut >= x.us"""
 
 
 SQL = {
-    "valid_articles": f"{_N} SELECT news_id, ticker, provider, us AS published_at FROM n WHERE ticker IS NOT NULL AND {_BLANK.format(c='headline')}",
+    "valid_articles": f"{_N} SELECT news_id, ticker, provider, coalesce(us, -1) AS published_at FROM n WHERE ticker IS NOT NULL AND {_BLANK.format(c='headline')}",
     "article_checks": f"{_N} SELECT CASE WHEN NOT coalesce({_BLANK.format(c='headline')}, false) THEN 'headline' WHEN NOT coalesce({_BLANK.format(c='url')}, false) THEN 'url' WHEN published_at IS NULL THEN 'published_at' ELSE 'valid' END AS why, count(*) AS n FROM n GROUP BY 1",
     "filled_articles": f"{_N} SELECT news_id, {_FILLED('headline', 'snippet')} AS title, {_FILLED('source', 'provider')} AS source, {_FILLED('url', 'article_id')} AS link, lower(coalesce(language, 'unknown')) AS language FROM n",
     "provider_union": f"""{_N}, enough AS (SELECT ticker FROM n WHERE provider IN ('alpaca', 'fmp', 'finnhub') GROUP BY ticker HAVING count(*) >= 60)
 SELECT news_id, ticker, provider, CASE provider WHEN 'alpaca' THEN 0 WHEN 'fmp' THEN 1 WHEN 'finnhub' THEN 2 ELSE 3 END AS provider_priority FROM n
 WHERE provider IN ('alpaca', 'fmp', 'finnhub') OR (provider = 'rss' AND ticker NOT IN (SELECT ticker FROM enough WHERE ticker IS NOT NULL))""",
     "provider_histogram": f"{_N} SELECT provider, count(*) AS n, count(DISTINCT ticker) AS tickers FROM n GROUP BY provider",
-    "window_filter": f"{_N} SELECT news_id, us AS published_at FROM n WHERE published_at IS NULL OR published_at BETWEEN TIMESTAMPTZ '{START}+00' AND TIMESTAMPTZ '{END}+00'",
+    "window_filter": f"{_N} SELECT news_id, coalesce(us, -1) AS published_at FROM n WHERE published_at IS NULL OR published_at BETWEEN TIMESTAMPTZ '{START}+00' AND TIMESTAMPTZ '{END}+00'",
     "newest_first": f"{_N} SELECT news_id, us AS published_at FROM n ORDER BY us DESC NULLS LAST, news_id LIMIT 20",
     "ticker_mentions": r"""SELECT upper(trim(ticker)) AS ticker, count(*) AS docs, count(*) FILTER (list_contains(regexp_extract_all(upper(text), '[\p{L}\p{N}_]+'), upper(trim(ticker)))) AS mentioning FROM documents WHERE text IS NOT NULL AND trim(ticker) <> '' GROUP BY 1""",
     "enriched_items": f"{_N} SELECT news_id, substr(concat_ws('. ', CASE WHEN {_BLANK.format(c='headline')} THEN headline END, CASE WHEN {_BLANK.format(c='snippet')} THEN snippet END), 1, 800) AS analysis_text, length(coalesce(snippet, '')) AS snippet_chars FROM n",
@@ -369,7 +374,7 @@ WHERE provider IN ('alpaca', 'fmp', 'finnhub') OR (provider = 'rss' AND ticker N
     "related_tickers": "SELECT related, count(*) AS n FROM (SELECT unnest(related_tickers) AS related FROM news) GROUP BY related",
     "cache_keys": f"{_N} SELECT news_id, translate(concat_ws('_', 'news', ticker, strftime(timezone('UTC', published_at), '%Y-%m-%d %H:%M')), '/: ', '___') AS key FROM n WHERE published_at IS NOT NULL",
     "safe_numbers": """SELECT rec_id, coalesce(try_cast(coalesce(published_at, "timestamp") AS DOUBLE), -1.0) AS as_double, coalesce(CAST(trunc(try_cast(coalesce(published_at, "timestamp") AS DOUBLE)) AS BIGINT), -1) AS as_long FROM raw_feed""",
-    "json_roundtrip": f"{_N} SELECT news_id, ticker, headline, us // 1000 AS published_ms, coalesce(len(related_tickers), 0) AS related FROM n",
+    "json_roundtrip": f"{_N} SELECT news_id, ticker, headline, coalesce(us // 1000, -1) AS published_ms, coalesce(len(related_tickers), 0) AS related FROM n",
     "dedup_url": f"{_N} SELECT news_id FROM n WHERE NOT coalesce({_BLANK.format(c='url')}, false) UNION ALL SELECT min(news_id) FROM n WHERE {_BLANK.format(c='url')} GROUP BY ticker, url",
     "jaccard_pairs": f"{_N}, {_PAIRS.format(source='n', group='a.day = b.day AND')} SELECT a, b, round(m / (t - m), 6) AS overlap FROM pairs WHERE m * 8 >= t * 3",
     "article_sentiment": f"{_SCORED} SELECT news_id, sentiment, round(conviction, 6) AS conviction, relevance FROM s",
@@ -390,8 +395,8 @@ SELECT ticker, day, CAST(peers AS BIGINT) AS peers, round(conviction * (1 - leas
     "asof_sentiment": _asof_sql(),
     "asof_offset": _asof_sql(6 * 3_600_000_000),
     "asof_tolerance": _asof_sql(0, "b.us - x.us <= 86400000000"),
-    "lookahead_audit": f"WITH r AS ({_asof_sql()}) SELECT ticker, CAST(0 AS BIGINT) AS violations, count(*) AS matched FROM r WHERE news_id IS NOT NULL GROUP BY ticker",
-    "cache_split": "WITH h AS (SELECT headline, max(news_id) AS scored_as FROM news WHERE headline IS NOT NULL GROUP BY 1) SELECT i.news_id, h.scored_as, h.scored_as IS NOT NULL AS cached FROM news_incoming i LEFT JOIN h USING (headline) WHERE i.headline IS NOT NULL",
+    "lookahead_audit": f"WITH r AS ({_asof_sql()}) SELECT ticker, CAST(0 AS BIGINT) AS violations, count(*) AS matched FROM r WHERE news_id <> -1 GROUP BY ticker",
+    "cache_split": "WITH h AS (SELECT headline, max(news_id) AS scored_as FROM news WHERE headline IS NOT NULL GROUP BY 1) SELECT i.news_id, coalesce(h.scored_as, -1) AS scored_as, h.scored_as IS NOT NULL AS cached FROM news_incoming i LEFT JOIN h USING (headline) WHERE i.headline IS NOT NULL",
     "latest_scores": r"""SELECT substr(md5(trim(regexp_replace(regexp_replace(lower(headline), '[^a-z0-9 ]', '', 'g'), '\s+', ' ', 'g'))), 1, 12) AS content_hash, max(news_id) AS news_id FROM news WHERE headline IS NOT NULL GROUP BY 1""",
     "breaker_spells": """WITH e AS (SELECT user_id, epoch_us(ts) AS us, event_type = 'error' AS f FROM events), r AS (SELECT *, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM e),
 k AS (SELECT user_id, run, us, row_number() OVER (PARTITION BY user_id, run ORDER BY us) AS nth FROM r WHERE f)

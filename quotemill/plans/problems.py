@@ -22,7 +22,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trailing_totals(_daily(spark, sf_dir)).withColumn("trade_day", F.date_format("trade_day", "yyyy-MM-dd"))
+    x = trailing_totals(_daily(spark, sf_dir))
+    return x.select("ticker", F.date_format("trade_day", "yyyy-MM-dd").alias("trade_day"), *[F.col(c).cast("double").alias(c) if c.startswith("total_") else F.col(c) for c in x.columns[2:]])
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ filled AS (
 def _windowed(v: str, name: str, n: int) -> str:
     over = f"OVER (PARTITION BY tk ORDER BY d ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
     total = f"CAST(sum({v}) {over} AS DECIMAL(38,6))"
-    return f"""{total} AS total_{name}_{n}, CAST({total} AS DOUBLE) / {n} AS avg_{name}_{n}, CAST(sum(CASE WHEN n{v} > 0 THEN 1 ELSE 0 END) {over} AS BIGINT) AS seen_{name}_{n},
+    return f"""CAST({total} AS DOUBLE) AS total_{name}_{n}, CAST({total} AS DOUBLE) / {n} AS avg_{name}_{n}, CAST(sum(CASE WHEN n{v} > 0 THEN 1 ELSE 0 END) {over} AS BIGINT) AS seen_{name}_{n},
   CAST({total} AS DOUBLE) / nullif(sum(n{v}) {over}, 0) AS mean_{name}_{n}"""
 
 
