@@ -20,10 +20,10 @@ def first_by_key(df: DataFrame, key: str, order: Sequence[str], within: Sequence
 
 
 def first_of_similar(df: DataFrame, *, key: str, text: str, similarity: float = 0.85, within: tuple[str, ...] = ()) -> DataFrame:
-    """df without the rows whose text is similar to that of an earlier row (by key) that stays; rows without words all stay."""
+    """df without the rows whose text is similar to that of an earlier row (by key) that stays; rows without words, or without a key, all stay."""
     rows = df.withColumn("__words", word_set(F.coalesce(F.col(text), F.lit(""))))
     pairs = similar_pairs(rows, key=key, words="__words", similarity=similarity, within=within)
-    return df.join(first_come(df, pairs, key=key).filter("kept").select(key), key, "left_semi")
+    return df.join(first_come(df, pairs, key=key).filter("not kept").select(key), key, "left_anti")
 
 
 def distinct_articles(df: DataFrame, *, key: str = "news_id", within: tuple[str, ...] = ("ticker",), similarity: float = 0.85) -> DataFrame:
