@@ -19,7 +19,7 @@ SIGN_WORDS = 3
 #: Records of a tree's leaf, compared with each other in blocks.
 LEAF = 2048
 #: Records of one shard that are compared in one piece; larger shards are split into pairs of blocks.
-BLOCK = 8192
+BLOCK = 32768
 #: Cells of so few records are compared all at once instead of one after the other.
 SMALL = 64
 
