@@ -10,7 +10,7 @@ DAY_US = 86_400_000_000
 
 def blank_to_null(c: Column) -> Column:
     """Null where c is null, empty or only white space."""
-    return F.when(F.length(F.regexp_replace(c, r"(?U)\s+", "")) > 0, c)
+    return F.when(c.rlike(r"(?U)\S"), c)
 
 
 def entity_key(c: Column) -> Column:
