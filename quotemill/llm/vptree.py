@@ -251,7 +251,7 @@ def text_sets(df: DataFrame, texts: tuple[str, ...], *, key: str) -> DataFrame:
     """key, sid, words of the rows whose texts all have something other than white space and at least one word; the texts are joined by blanks."""
     whole = None
     for c in texts:
-        has = F.length(F.regexp_replace(F.col(c), r"(?U)\s+", "")) > 0
+        has = F.col(c).rlike(r"(?U)\S")
         whole = has if whole is None else whole & has
     rows = df.filter(whole).select(F.col(key).alias("key"), word_hashes(F.concat_ws(" ", *[F.col(c) for c in texts])).alias("words"))
     return rows.filter(F.size("words") > 0).withColumn("sid", set_id(F.col("words")))

@@ -16,7 +16,7 @@ COUNT_BITS = 17
 
 def word_hashes(text: Column) -> Column:
     """The set of maximal runs of letters and digits of a text, lower-cased, as array<long>; empty for null."""
-    return F.transform(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))), lambda w: F.xxhash64(w))
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
 
 
 def set_id(words: Column) -> Column:
