@@ -36,18 +36,18 @@ def similar_pairs(df: DataFrame, *, key: str, words: str, similarity: float, wit
 
 
 def components(nodes: DataFrame, pairs: DataFrame, *, key: str) -> DataFrame:
-    """key, component: the least key each node is connected to. Labels spread along pairs and jump to the labels of labels, so rounds grow with the logarithm of the longest path."""
+    """key, component: the least key each node is connected to. Labels spread along pairs and jump to the labels of labels, so rounds grow with the logarithm of the longest path; only nodes that have a pair take part in them."""
     both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(nodes.select(F.col(key).alias("n"), F.col(key).alias("l")))
-    while True:
+    labels = cut(both.select(F.col("a").alias("n")).distinct().withColumn("l", F.col("n")))
+    open_ = not labels.isEmpty()
+    while open_:
         seen = both.join(labels, both["b"] == labels["n"]).groupBy("a").agg(F.min("l").alias("m"))
         spread = labels.join(seen, labels["n"] == seen["a"], "left").select("n", "l", F.least("l", F.coalesce("m", "l")).alias("m"))
         jump = labels.select(F.col("n").alias("m"), F.col("l").alias("j"))
         nxt = cut(spread.join(jump, "m").select("n", "l", F.least("m", "j").alias("x")))
-        done = nxt.filter("l <> x").isEmpty()
+        open_ = not nxt.filter("l <> x").isEmpty()
         labels = nxt.select("n", F.col("x").alias("l"))
-        if done:
-            return labels.select(F.col("n").alias(key), F.col("l").alias("component"))
+    return nodes.select(F.col(key).alias("k")).join(labels, F.col("k") == F.col("n"), "left").select(F.col("k").alias(key), F.coalesce("l", "k").alias("component"))
 
 
 def first_come(nodes: DataFrame, pairs: DataFrame, *, key: str) -> DataFrame:
