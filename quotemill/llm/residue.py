@@ -39,6 +39,8 @@ PLACEHOLDER = regex.compile(
             r"(?<![\p{L}\p{N}{])\{" + _FIELD + r"\}(?!\})",
             r"%\(" + _FIELD + r"\)[sdf]",
             r"@@" + _FIELD + r"@@",
+            r"\*\|\s?[\p{L}_][^*|\n]*\|\*",
+            r"(?<!\$)\$\$" + _FIELD + r"\$\$(?!\$)",
             r"<<\s?" + _FIELD + r"\s?>>",
             r"\[\[\s?" + _FIELD + r"\s?\]\]",
             r"__" + r"[\p{L}][\p{L}\p{N}]*(?:_[\p{L}\p{N}]+)*" + r"__",

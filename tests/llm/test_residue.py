@@ -1,6 +1,6 @@
 import pytest
 
-from quotemill.llm.residue import residue_marks
+from quotemill.llm.residue import Matcher, residue_marks
 
 RESIDUE = [
     "Please enable JavaScript to view this page.",
@@ -73,3 +73,18 @@ def test_extra_exemplars(spark):
     df = spark.createDataFrame([(1, "Zugriff nur für Abonnenten des Hauses.")] + [(10 + i, t) for i, t in enumerate(FILL)], "doc_id long, text string")
     assert residue_marks(df).filter("residue").count() == 0
     assert [r.doc_id for r in residue_marks(df, extra=[("error", "Zugriff nur für Abonnenten")]).filter("residue").collect()] == [1]
+
+
+def found(text):
+    """Placeholders of a text, where no word marks a mention."""
+    return Matcher([], {}, 1.0).unfilled(text)
+
+
+@pytest.mark.parametrize("tag", ["*|EPS|*", "*|CLOSE_PRICE|*", "*|LIST:COMPANY NAME|*", "$$region$$", "$$company.name$$", "$$as_of$$"])
+def test_merge_tags(tag):
+    assert found(f"A block of shares was placed overnight at {tag} each, below the price of Friday.") == 1
+    assert found(f'The letter began "Dear {tag}" and went to all clients.') == 0
+
+
+def test_no_merge_tags():
+    assert found("Traders who made $$ on Acme sold | held * shares, a $$$ rating, and $$ more $$ was lost.") == 0
