@@ -28,9 +28,16 @@ _NAMES = r"(?:first|last|full|user|company|client|customer|analyst|speaker|autho
 _NAME = _NAMES + r"(?:[ _.\-]" + _NAMES + r")*"
 #: HTML elements that may stand in angle brackets.
 _ELEMENTS = r"(?:a|abbr|article|aside|b|body|br|button|code|div|em|figure|font|footer|form|h[1-6]|head|header|hr|html|i|iframe|img|input|label|li|link|main|meta|nav|ol|option|p|pre|s|script|section|select|small|span|strong|style|sub|sup|svg|table|tbody|td|th|thead|title|tr|u|ul|video)"
+#: Further elements, which no name in the list above is taken for.
+_MORE_ELEMENTS = r"(?:acronym|address|area|audio|base|bdi|bdo|big|blockquote|canvas|caption|center|cite|col|colgroup|data|datalist|dd|del|details|dfn|dialog|dl|dt|embed|fieldset|figcaption|frame|frameset|g|hgroup|ins|kbd|legend|map|mark|menu|meter|noscript|object|optgroup|output|param|path|picture|progress|q|rect|rp|rt|ruby|samp|search|slot|source|strike|summary|template|textarea|tfoot|time|track|tt|var|wbr)"
+#: Any words, as the name of a field: alone, or joined by one sign or blank each.
+_WORDS = r"[\p{L}_][\p{L}\p{N}]+(?:[ _.\-]+[\p{L}\p{N}]+)*"
+_ADDRESS = r"www\.|[^\s>\]]*\.(?:com|org|net|gov|edu|io|co|uk|de|fr|es|eu|info|html?|php|pdf)[>\]]"
 #: Shapes of a value that was never filled in.
 PLACEHOLDER = regex.compile(
-    "|".join(
+    # Every shape begins with one of these signs.
+    r"(?=[{<\[$#%@_*(])(?:"
+    + "|".join(
         [
             r"\{\{[^{}\n]{1,60}\}\}",
             r"\{%[-\s]*" + _FIELD + r"[^{}\n]{0,60}%\}",
@@ -50,9 +57,14 @@ PLACEHOLDER = regex.compile(
             r"(?i)\[[^\[\]\n]{1,40}\shere\]",
             r"(?i)\[your\s[^\[\]\n]{1,40}\]",
             r"(?i)\[" + _NAME + r"\]",
+            # The two shapes with names that the list lacks.
+            r"(?i)<(?!" + _ADDRESS + r"|/?(?:" + _ELEMENTS[3:-1] + "|" + _MORE_ELEMENTS[3:-1] + r")[\s>])(?P<free>" + _WORDS + r")>(?![^<]*</(?P=free)>)",
+            r"(?i)(?<![\p{L}\p{N}\]])\[(?!" + _ADDRESS + r")(?P<free>" + _WORDS + r")\](?![\p{L}\p{N}(\[:])",
         ]
     )
+    + ")"
 )
+_EDITORIAL, _PREPOSITIONS = frozenset(given.EDITORIAL.split()), frozenset(given.PREPOSITIONS.split())
 _SENTENCE = regex.compile(r"(?<=[.!?…。！？])\s+|[\r\n]+")
 _SPACED = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{L}] ){3,}[\p{L}](?![\p{L}\p{N}])")
 #: The words of WORD, by the faster standard module.
@@ -188,10 +200,27 @@ class Matcher:
             lo = max(text.rfind("\n", 0, a), *(text.rfind(x, 0, a) for x in (". ", "! ", "? "))) + 1
             ends = [e for e in (text.find(x, b) for x in ("\n", ". ", "! ", "? ")) if e >= 0]
             hi = min(ends, default=len(text))
+            if (free := m.group("free")) and self._editorial(free, text[text.rfind("\n", 0, a) + 1 : a]):
+                continue
             if not self._quoted(text[lo:a], text[b:hi]) and not self._spoken_of(text[lo:a] + " " + text[b:hi]):
                 n += 1
         return n
 
+    @staticmethod
+    def _editorial(name: str, before: str) -> bool:
+        """Whether words in brackets are a remark or insertion of an editor, or a ticker after its company; before is the line up to them."""
+        if "_" in name:
+            return False
+        words = re.split(r"[ .\-]+", name.lower())
+        if words[0] in _PREPOSITIONS or any(w in _EDITORIAL for w in words):
+            return True
+        # Within a quotation of any length they are the editor's.
+        opening, closing = ("„", "“") if "„" in before else ("“", "”")
+        if before.count('"') % 2 or before.rfind(opening) > before.rfind(closing) or before.rfind("«") > before.rfind("»"):
+            return True
+        last = before.split()[-1:]
+        return len(name) <= 5 and name.isupper() and bool(last) and last[0][0].isupper() and last[0].lower() not in _EDITORIAL | _PREPOSITIONS
+
     @staticmethod
     def _quoted(before: str, after: str) -> bool:
         """Within a short quotation."""

@@ -237,3 +237,16 @@ tutorial documentation developer developers markup snippet merge mailmerge tag t
 example examples sample samples quoted quotes quoting slip typo lorem parser compiler programmers coders
 vorlage vorlagen platzhalter variablen beispiel entwürfe syntaxe modèle gabarit variable exemple brouillons
 plantilla plantillas marcador variable ejemplo borradores"""
+
+#: Words that stand in brackets as remarks or insertions of an editor, not as names of fields.
+EDITORIAL = """
+sic recte emphasis added original translated translation edit edited editor editors ed redacted deleted removed omitted corrected correction update updated continued
+applause laughter laughs laughing inaudible unintelligible indiscernible unclear crosstalk pause music sighs citation needed note
+video photo image audio graphic chart table advertisement ad sponsored opinion exclusive breaking live more see
+reuters ap afp bloomberg dpa usd eur gbp jpy chf million billion trillion thousand percent
+i you he she it we they me him her us them my your his its our their who which the a an this that these those and or but nor not no yes
+is are was were be been being am has have had do does did will would can could may might should must than so such if when while because
+er sie es wir ich der die das den dem und oder il elle le la les un une et ou el los las una y
+"""
+#: Prepositions, which may stand within the name of a field but don't begin one.
+PREPOSITIONS = "of as for to by in on at from with per about under over into"

@@ -88,3 +88,24 @@ def test_merge_tags(tag):
 
 def test_no_merge_tags():
     assert found("Traders who made $$ on Acme sold | held * shares, a $$$ rating, and $$ more $$ was lost.") == 0
+
+
+@pytest.mark.parametrize("field", ["<ceo_name>", "<Prev_Revenue>", "<executive name>", "[dividend]", "[executive name]", "[FUND]", "[prev.revenue]", "[date of report]", "[ex_date]"])
+def test_names_that_are_not_listed(field):
+    assert found(f"Analysts put the payout of {field} at 12 million, a rise of 3 percent on the year.") == 1
+    assert found(f'The letter began "Dear {field}" and went to all clients.') == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "The memo is quoted as written [sic] and the tape [inaudible] ends there [emphasis added].",
+        'Asked about margins, they said: "When [management] spoke to us about the order book in March, nobody had any idea of it."',
+        "„Wenn [Analysten] das so sehen, dann haben sie den Auftragseingang der letzten drei Quartale nicht gelesen“, hieß es.",
+        "Shares of Acme [ACME] rose, [T]he note [1] cites [the filing](http://a.b/c) and [terms](http://a.b/d).",
+        "A <blockquote> and a <br /> and <dl> stay, as do <strong>bold</strong>, <acme>text</acme>, <www.acme.com> and <acme.com>.",
+        "The rule holds for 3 <x and y> 4, whatever the index.",
+    ],
+)
+def test_brackets_of_editors(text):
+    assert found(text) == 0
