@@ -33,15 +33,17 @@ _MORE_ELEMENTS = r"(?:acronym|address|area|audio|base|bdi|bdo|big|blockquote|can
 #: Any words, as the name of a field: alone, or joined by one sign or blank each.
 _WORDS = r"[\p{L}_][\p{L}\p{N}]+(?:[ _.\-]+[\p{L}\p{N}]+)*"
 _ADDRESS = r"www\.|[^\s>\]]*\.(?:com|org|net|gov|edu|io|co|uk|de|fr|es|eu|info|html?|php|pdf)[>\]]"
+#: A long "[... here]" with one of these points to another text.
+_LINK = "click|tap|read|see|view|visit|watch|listen|download|find|found|available|published|posted|appeared|reproduced|reprinted"
 #: Shapes of a value that was never filled in.
 PLACEHOLDER = regex.compile(
     # Every shape begins with one of these signs.
     r"(?=[{<\[$#%@_*(])(?:"
     + "|".join(
         [
-            r"\{\{[^{}\n]{1,60}\}\}",
-            r"\{%[-\s]*" + _FIELD + r"[^{}\n]{0,60}%\}",
-            r"<%=?[^<>\n]{1,60}%>",
+            r"\{\{[^{}]+\}\}",
+            r"\{%[-\s]*" + _FIELD + r"[^{}]*%\}",
+            r"<%=?[^<>]+%>",
             r"[$#]\{" + _FIELD + r"\}",
             r"(?<![\p{L}\p{N}{])\{" + _FIELD + r"\}(?!\})",
             r"%\(" + _FIELD + r"\)[sdf]",
@@ -53,9 +55,9 @@ PLACEHOLDER = regex.compile(
             r"__" + r"[\p{L}][\p{L}\p{N}]*(?:_[\p{L}\p{N}]+)*" + r"__",
             r"%[\p{L}]+(?:_[\p{L}]+)*%",
             r"<(?!/?" + _ELEMENTS + r">)(?:\p{Lu}[\p{Lu}\p{N}_]*|(?i:" + _NAME + r"))>",
-            r"(?i)[\[(<](?:insert|enter|add)\s[^\])>\n]{1,40}[\])>]",
-            r"(?i)\[[^\[\]\n]{1,40}\shere\]",
-            r"(?i)\[your\s[^\[\]\n]{1,40}\]",
+            r"(?i)[\[(<](?:insert|enter|add)\s[^\])>\n]+[\])>]",
+            r"(?i)\[(?:[^\[\]\n]{1,40}|(?![^\[\]\n]*\b(?:" + _LINK + r")\b)[^\[\]\n]+)\shere\]",
+            r"(?i)\[your\s[^\[\]\n]+\]",
             r"(?i)\[" + _NAME + r"\]",
             # The two shapes with names that the list lacks.
             r"(?i)<(?!" + _ADDRESS + r"|/?(?:" + _ELEMENTS[3:-1] + "|" + _MORE_ELEMENTS[3:-1] + r")[\s>])(?P<free>" + _WORDS + r")>(?![^<]*</(?P=free)>)",

@@ -109,3 +109,25 @@ def test_names_that_are_not_listed(field):
 )
 def test_brackets_of_editors(text):
     assert found(text) == 0
+
+
+@pytest.mark.parametrize(
+    "field",
+    [
+        "{{ quarterly_report.company.display_name | default(issuer.legal_name) }}",
+        "{{ quarterly_report.company\n   | default(issuer) }}",
+        "{% if quarterly_report.company.display_name is defined and issuer.legal_name is defined %}",
+        "{% if quarter\n   is defined %}",
+        "<%= quarterly_report.company.display_name || issuer.legal_name || issuer.short_name %>",
+        "<%= report\n.date %>",
+        "[insert the full legal name of the company that issued the shares]",
+        "[the full legal name of the company that issued the shares here]",
+        "[your full legal name as it stands in the register of the exchange]",
+    ],
+)
+def test_long_and_broken_fields(field):
+    assert found(f"Analysts put the payout of {field} at 12 million, a rise of 3 percent on the year.") == 1
+
+
+def test_long_pointers_are_content():
+    assert found("The court ruled in May [the full text of the ruling and of the dissent can be read here] for Acme.") == 0
