@@ -42,6 +42,8 @@ class Shard:
         p, q = t.numerator, t.denominator
         #: Words that sets of lengths a and b may differ by, as a function of a + b.
         self.far = sums - 2 * -((-sums * p) // (p + q))
+        #: The same for sums up to a + b: far falls by one between some of them.
+        self.far_within = np.maximum.accumulate(self.far)
         self.most = int(self.far.max(initial=0))
         #: The longest partner that a record can still reach the bound with by the words it has left.
         self.reach = left.astype(np.int64) * (p + q) // p - self.len
@@ -79,7 +81,7 @@ class Shard:
 
     def _block(self, x: np.ndarray, y: np.ndarray, same: bool) -> None:
         self.tested += len(x) * len(y)
-        bound = self.far[self.len[x].max() + self.len[y].max()]
+        bound = self.far_within[self.len[x].max() + self.len[y].max()]
         if self.signs is None:
             bits = np.unpackbits(np.ascontiguousarray(self.fp[:, :SIGN_WORDS]).view(np.uint8), axis=1)
             self.signs = bits.astype(np.float32) * 2 - 1

@@ -76,3 +76,24 @@ def test_classes_hot_and_empty(spark):
     got = {r.news_id: r for r in classes(members, links).collect()}
     assert got[7].class_id == 0 and got[7].class_size == 400 and got[7].links == 20 and got[5000].links == 0
     assert links.count() == 20 + 190
+
+
+@pytest.mark.parametrize("t", [0.5, 0.65, 0.8])
+def test_short_sets_at_the_bound(t):
+    t = as_fraction(t)
+    far = Shard(np.zeros((1, V.FP_WORDS), np.uint64), np.array([30]), np.array([30]), t).far
+    # Pairs of n and n + 1 words may differ by more words than pairs of m and m words, though those are longer.
+    n, m = next((n, m) for n in range(4, 30) for m in range(n + 1, n + 3) if far[2 * n + 1] > far[2 * m])
+    kept = (2 * n + 1 - far[2 * n + 1]) // 2
+    r = np.random.default_rng(5)
+    sets = []
+    for _ in range(100):
+        x = r.choice(10**6, 2 * n, replace=False)
+        sets += [x[:n], np.concatenate([x[:kept], 10**6 + x[: n + 1 - kept]])]
+    sets += [r.choice(10**6, m, replace=False) for _ in range(20)]
+    words, size = np.concatenate(sets).astype(np.int64), np.array([len(s) for s in sets])
+    shard = Shard(fingerprints(words, np.repeat(np.arange(len(sets)), size), len(sets)), size, size, t)
+    shard.search(np.arange(len(sets)))
+    got = {tuple(sorted(p)) for p in zip(*map(np.ndarray.tolist, shard.pairs()))}
+    both = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(set(sets[a]) & set(sets[b])) * (t.numerator + t.denominator) >= (size[a] + size[b]) * t.numerator]
+    assert len(sets) > V.SMALL and len(both) >= 100 and set(both) <= got
