@@ -37,26 +37,43 @@ class Scorer(Protocol):
         ...
 
 
-def score_with(df: DataFrame, scorers: list[Scorer], text: str = "analysis_text", batch: int = 16) -> DataFrame:
-    """df with sentiment, conviction and scored_by of the first scorer that is available, in batches; raises if none is. Texts a scorer fails on get nulls."""
-    usable = next((s for s in scorers if s.available()), None)
-    if usable is None:
+def score_with(df: DataFrame, scorers: list[Scorer], text: str = "analysis_text", batch: int = 16, required: bool = False) -> DataFrame:
+    """df with sentiment, conviction and scored_by, in batches; raises if no scorer is available.
+
+    Each batch goes to the first available scorer; if that fails, to the next ones, and if
+    all fail its texts go through the scorers one by one. scored_by names the scorer of the
+    row. Texts that every scorer fails on get nulls and the first one's name, or raise if
+    scores are required.
+    """
+    usable = [s for s in scorers if s.available()]
+    if not usable:
         raise RuntimeError("no scorer is available: " + ", ".join(s.name for s in scorers))
     ship(df.sparkSession)
 
-    @F.pandas_udf("sentiment string, conviction double")
+    @F.pandas_udf("sentiment string, conviction double, scored_by string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for k in range(0, len(part), batch):
-                piece = part.iloc[k : k + batch]
-                try:
-                    out.append(usable.score(piece)[["sentiment", "conviction"]])
-                except Exception:  # noqa: BLE001
-                    out.append(pd.DataFrame({"sentiment": [None] * len(piece), "conviction": [None] * len(piece)}))
-            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"sentiment": [], "conviction": []})
-
-    return df.withColumn("__s", run(F.col(text))).select(*df.columns, "__s.*", F.lit(usable.name).alias("scored_by"))
+            out = [_scored(usable, part.iloc[k : k + batch], required) for k in range(0, len(part), batch)]
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"sentiment": [], "conviction": [], "scored_by": []})
+
+    return df.withColumn("__s", run(F.col(text))).select(*df.columns, "__s.*")
+
+
+def _scored(scorers: list[Scorer], piece: pd.Series, required: bool) -> pd.DataFrame:
+    failures = []
+    for s in scorers:
+        try:
+            out = s.score(piece)[["sentiment", "conviction"]]
+            if len(out) != len(piece):
+                raise ValueError(f"{len(out)} scores for {len(piece)} texts")
+            return out.assign(scored_by=s.name)
+        except Exception as e:  # noqa: BLE001
+            failures.append(f"{s.name}: {e!r}")
+    if len(piece) > 1:
+        return pd.concat([_scored(scorers, piece.iloc[k : k + 1], required) for k in range(len(piece))], ignore_index=True)
+    if required:
+        raise RuntimeError("every scorer failed: " + " | ".join(failures))
+    return pd.DataFrame({"sentiment": [None], "conviction": [None], "scored_by": [scorers[0].name]})
 
 
 def lexicon_scores(text: Column) -> tuple[Column, Column]:

@@ -107,6 +107,41 @@ def test_scorers(spark):
         score_with(df, [Lengths(False)])
 
 
+class Ones(Lengths):
+    name = "ones"
+
+    def score(self, x):
+        import pandas as pd
+
+        if x.str.contains("bang").any():
+            raise ValueError
+        return pd.DataFrame({"sentiment": ["NEUTRAL"] * len(x), "conviction": [1.0] * len(x)})
+
+
+class Short(Lengths):
+    name = "short"
+
+    def score(self, x):
+        return super().score(x).head(0)
+
+
+def test_scorers_fall_back(spark):
+    kind = "id long, analysis_text string"
+    by_id = lambda df: {r.id: (r.conviction, r.scored_by) for r in df.collect()}
+    df = spark.createDataFrame([(1, "abc"), (2, "boom"), (3, "abcd")], kind).coalesce(1)
+    # A batch that one scorer fails on goes to the next as a whole.
+    assert by_id(score_with(df, [Lengths(), Ones()])) == {i: (1.0, "ones") for i in (1, 2, 3)}
+    assert by_id(score_with(df, [Lengths(), Ones()], batch=1)) == {1: (3.0, "lengths"), 2: (1.0, "ones"), 3: (4.0, "lengths")}
+    # One bad text costs no other its score.
+    assert by_id(score_with(df, [Lengths()])) == {1: (3.0, "lengths"), 2: (None, "lengths"), 3: (4.0, "lengths")}
+    assert by_id(score_with(df.filter("id <> 2"), [Short(), Lengths()])) == {1: (3.0, "lengths"), 3: (4.0, "lengths")}
+    bad = spark.createDataFrame([(1, "abc"), (2, "boom"), (3, "bang"), (4, "boom bang")], kind).coalesce(1)
+    assert by_id(score_with(bad, [Lengths(), Ones()])) == {1: (3.0, "lengths"), 2: (1.0, "ones"), 3: (4.0, "lengths"), 4: (None, "lengths")}
+    with pytest.raises(Exception, match="every scorer failed"):
+        score_with(bad, [Lengths(), Ones()], required=True).collect()
+    assert by_id(score_with(bad.filter("id < 4"), [Lengths(), Ones()], required=True))[3] == (4.0, "lengths")
+
+
 def test_signals_count_events_once(spark):
     from pyspark.sql import functions as F
 
