@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.sources.feeds import BARS, NEWS
@@ -28,9 +28,11 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(NEWS).json(path)
 
 
-def append_scores(df: DataFrame, path: str, batch: int) -> None:
-    """Scores keyed by content_hash; a later batch replaces earlier ones when read."""
-    df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(path)
+def append_scores(df: DataFrame, path: str, batch: int, ttl: float | None = None, now: Column | None = None) -> None:
+    """Scores keyed by content_hash; a later batch replaces earlier ones when read. With ttl they expire so many seconds from now, else never."""
+    at = F.current_timestamp() if now is None else now
+    expires = F.lit(None).cast("timestamp") if ttl is None else at + F.make_dt_interval(secs=F.lit(ttl).cast("decimal(18,6)"))
+    df.withColumns({"batch": F.lit(batch), "expires_at": expires}).write.mode("append").parquet(path)
 
 
 def latest_by(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -38,8 +40,21 @@ def latest_by(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    return latest_by(spark.read.parquet(path), "content_hash", "batch")
+def unexpired(df: DataFrame, now: Column | None = None) -> DataFrame:
+    """Rows whose expires_at is null or not past; all of them where there is no such column."""
+    if "expires_at" not in df.columns:
+        return df
+    return df.filter(F.col("expires_at").isNull() | (F.col("expires_at") >= (F.current_timestamp() if now is None else now)))
+
+
+def read_scores(spark: SparkSession, path: str, now: Column | None = None) -> DataFrame:
+    """The last score of every key, unless it has expired: an expired one doesn't bring back those it replaced."""
+    return unexpired(latest_by(spark.read.option("mergeSchema", True).parquet(path), "content_hash", "batch"), now)
+
+
+def evict_expired(spark: SparkSession, path: str, to: str, now: Column | None = None) -> None:
+    """Writes what read_scores gives to another folder, without the rows that were replaced or have expired."""
+    read_scores(spark, path, now).write.mode("overwrite").parquet(to)
 
 
 def scored_and_new(items: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:

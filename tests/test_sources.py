@@ -62,6 +62,29 @@ def test_tables(spark, tmp_path):
     assert not (tmp_path / "csv").exists()
 
 
+def test_scores_expire(spark, tmp_path):
+    path, clean = str(tmp_path / "scores"), str(tmp_path / "clean")
+    s = lambda *x: spark.createDataFrame(list(x), "content_hash string, label string")
+    t = lambda text: F.lit(text).cast("timestamp")
+    labels = lambda df: sorted((r.content_hash, r.label) for r in df.collect())
+    # Files from before scores could expire.
+    s(("old", "kept")).withColumn("batch", F.lit(0)).write.parquet(path)
+    tables.append_scores(s(("a", "first"), ("b", "first")), path, 1)
+    tables.append_scores(s(("a", "second"), ("c", "first")), path, 2, ttl=90.5, now=t("2024-01-01 00:00:00"))
+    both = [("a", "second"), ("b", "first"), ("c", "first"), ("old", "kept")]
+    assert labels(tables.read_scores(spark, path, t("2024-01-01 00:01:30.5"))) == both
+    # The score that "a" had before stays replaced.
+    left = [("b", "first"), ("old", "kept")]
+    assert labels(tables.read_scores(spark, path, t("2024-01-01 00:01:30.6"))) == left
+    assert labels(tables.read_scores(spark, path)) == left
+    _, miss = tables.scored_and_new(s(("a", ""), ("b", "")).select("content_hash"), tables.read_scores(spark, path))
+    assert [r.content_hash for r in miss.collect()] == ["a"]
+    tables.evict_expired(spark, path, clean)
+    assert spark.read.parquet(clean).count() == 2
+    tables.append_scores(s(("a", "third")), path, 3, ttl=3600)
+    assert labels(tables.read_scores(spark, path)) == sorted([*left, ("a", "third")])
+
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
 
