@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.host", "127.0.0.1")
+        # Checkpoints go when nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -29,13 +32,45 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; only where that is unset, as in tests, a local one is made."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; only where that is unset and all runs on one machine, as in tests, a local one is made."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+    at = sc._jsc.sc().getCheckpointDir()
+    if at.isDefined():
+        return at.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quotemill-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder, for tables that outlive a step; remove it when they are done with."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reads, if it is there."""
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, as a mark."""
+    fs, at = _files(spark, path)
+    fs.create(at, True).close()
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder."""
+    fs, at = _files(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at))
 
 
 def cut(df: DataFrame) -> DataFrame:
