@@ -9,15 +9,19 @@ from quotemill.llm.bpe import count_tokens, encode_column
 from quotemill.llm.mixing import mix_sources
 from quotemill.llm.nearest import nearest
 from quotemill.llm.residue import residue_marks
-from quotemill.llm.segment_index import SegmentIndex, repeats
+from quotemill.llm.segment_index import SegmentIndex, accept_batches
 from quotemill.llm.vptree import classes, expanded_pairs, near_duplicates
 from quotemill.operators.deliveries import latest_deliveries
-from quotemill.session import broadcast_within, cut, read
+from quotemill.session import broadcast_within, cut, read, remove, shared_folder
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = SegmentIndex.build(read(spark, sf_dir, "news"))
-    return repeats(index, read(spark, sf_dir, "news_incoming")).select("news_id")
+    """The index of all news is written once; the batches are then taken one after the other, each against what is stored by then."""
+    path = shared_folder(spark, "segment-index")
+    index = SegmentIndex.build(read(spark, sf_dir, "news"), path)
+    found = accept_batches(index, read(spark, sf_dir, "news_incoming"))
+    remove(spark, path)
+    return found.select("news_id")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,12 @@ def set_id(words: Column) -> Column:
     return F.xxhash64(F.array_sort(words))
 
 
+def wide_set_id(words: Column) -> Column:
+    """One id of 128 bits for equal word sets, where ids are kept and can't be drawn again."""
+    w = F.array_sort(words)
+    return F.struct(F.xxhash64(w).alias("a"), F.xxhash64(F.lit("second"), w).alias("b"))
+
+
 def shared(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b))
 

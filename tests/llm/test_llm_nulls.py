@@ -20,9 +20,9 @@ def nulls(spark, kind, n):
 
 
 @pytest.mark.parametrize("n", [0, 3])
-def test_all_null(spark, n):
+def test_all_null(spark, tmp_path, n):
     news, bars, docs, targets = (nulls(spark, k, n) for k in (NEWS, BARS, DOCS, TARGETS))
-    assert repeats(SegmentIndex.build(news), news).count() == 0
+    assert repeats(SegmentIndex.build(news, f"{tmp_path}/index"), news).count() == 0
     members, links = near_duplicates(news)
     assert classes(members, links).count() == 0 and expanded_pairs(members, links).count() == 0
     assert nearest(news, bars).count() == 0
