@@ -13,122 +13,129 @@ from quotemill.llm.wordsets import as_fraction, bucket_counts, flat, overlap_at_
 from quotemill.session import cut, ship
 
 #: 64-bit words of a fingerprint.
-FP_WORDS = 4
-#: Of these, the ones that are compared as sign vectors; the rest only where those are near.
-SIGN_WORDS = 3
-#: Records of a tree's leaf, compared with each other in blocks.
-LEAF = 2048
-#: Records of one shard that are compared in one piece; larger shards are split into pairs of blocks.
+FP_WORDS = 2
+#: Cells of no more pairs than the square of this are compared at once, larger ones parted at a vantage point.
+LEAF = 1024
+#: Records of one shard that are searched in one piece; larger shards are split into pairs of blocks.
 BLOCK = 32768
 #: Cells of so few records are compared all at once instead of one after the other.
 SMALL = 64
 
 
-def fingerprints(words: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
-    """Parity fingerprints: each word flips one of 256 bits. Two sets that differ in d words have fingerprints at most d bits apart, so a bound on differing words is a bound on Hamming distance."""
-    h = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bit = (h >> np.uint64(56)).astype(np.int64)
-    size = FP_WORDS * 64
-    bits = (np.bincount(row * size + bit, minlength=n_rows * size) & 1).astype(np.uint8).reshape(n_rows, size)
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+def suffix_fingerprints(words: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Parity fingerprints of the words that come after each word in its row: each word flips one of 128 bits. Two sets that differ in d words have fingerprints at most d bits apart, so a bound on differing words is a bound on Hamming distance."""
+    bit = (words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
+    one = np.uint64(1) << (bit & np.uint64(63))
+    flips = np.stack([np.where(bit >> np.uint64(6) == k, one, np.uint64(0)) for k in range(FP_WORDS)], axis=1)
+    upto = np.bitwise_xor.accumulate(flips, axis=0) if len(words) else flips
+    last = np.flatnonzero(np.append(row[1:] != row[:-1], True)) if len(row) else np.empty(0, np.int64)
+    return upto[np.repeat(last, np.diff(np.append(-1, last)))] ^ upto
 
 
 class Shard:
-    """Records of one shard: fingerprint, length, and words from the shard's word on."""
+    """Records of one shard, all of which have its word: the length of each, the position of the word, and the fingerprint of the words after it.
 
-    def __init__(self, fp: np.ndarray, length: np.ndarray, left: np.ndarray, t: Fraction):
-        self.fp, self.len = fp, length.astype(np.int64)
+    If the word is the first that two records share, the words before it differ, and of
+    those after it no more may differ than the bound leaves: that is the radius. It falls
+    with both positions, so records are searched by pairs of positions.
+    """
+
+    def __init__(self, fp: np.ndarray, length: np.ndarray, pos: np.ndarray, t: Fraction):
+        self.fp, self.len, self.pos = fp, length.astype(np.int64), pos.astype(np.int64)
+        self.rest = self.len - self.pos
         sums = np.arange(2 * int(self.len.max(initial=0)) + 1)
         p, q = t.numerator, t.denominator
         #: Words that sets of lengths a and b may differ by, as a function of a + b.
         self.far = sums - 2 * -((-sums * p) // (p + q))
         #: The same for sums up to a + b: far falls by one between some of them.
         self.far_within = np.maximum.accumulate(self.far)
-        self.most = int(self.far.max(initial=0))
-        #: The longest partner that a record can still reach the bound with by the words it has left.
-        self.reach = left.astype(np.int64) * (p + q) // p - self.len
-        self.signs: np.ndarray | None = None
         self.tested = 0
         self.out: list[tuple[np.ndarray, np.ndarray]] = []
 
     def distance(self, i: int, at: np.ndarray) -> np.ndarray:
         return np.bitwise_count(self.fp[at] ^ self.fp[i]).sum(axis=1, dtype=np.int64)
 
-    def compare(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
-        """All pairs of a and b (or of a, if same) whose positions and fingerprints allow the bound."""
-        if same:
-            self._ordered(a, a, True)
-        elif len(a) and len(b):
-            self._ordered(a, b, False)
-            self._ordered(b, a, False)
-
-    def _ordered(self, short: np.ndarray, long: np.ndarray, same: bool) -> None:
-        """Pairs in which the first is no longer than the second (by index where both are as long). By the bound only a record that reaches its own length can be the shorter one."""
-        short = short[self.reach[short] >= self.len[short]]
-        if not len(short) or not len(long):
-            return
-        short = short[np.lexsort((self.reach[short], self.len[short]))]
-        long = long[np.argsort(self.len[long], kind="stable")]
-        lens, reach = self.len[long], self.reach[long]
-        for k in range(0, len(short), 256):
-            x = short[k : k + 256]
-            lx = self.len[x]
-            lo = np.searchsorted(lens, lx[0])
-            hi = np.searchsorted(lens, self.reach[x].max(), side="right")
-            y = long[lo:hi][reach[lo:hi] >= lx[0]]
-            for m in range(0, len(y), 2048):
-                self._block(x, y[m : m + 2048], same)
-
-    def _block(self, x: np.ndarray, y: np.ndarray, same: bool) -> None:
-        self.tested += len(x) * len(y)
-        bound = self.far_within[self.len[x].max() + self.len[y].max()]
-        if self.signs is None:
-            bits = np.unpackbits(np.ascontiguousarray(self.fp[:, :SIGN_WORDS]).view(np.uint8), axis=1)
-            self.signs = bits.astype(np.float32) * 2 - 1
-        # Bits as signs: their inner product is their number less twice the distance.
-        near = self.signs[x] @ self.signs[y].T >= SIGN_WORDS * 64 - 2 * bound
-        k = np.flatnonzero(near)
-        i, j = k // len(y), k % len(y)
-        i, j = x[i], y[j]
-        li, lj = self.len[i], self.len[j]
-        keep = (li <= lj) & (lj <= self.reach[i]) & (li <= self.reach[j]) & (i != j)
-        keep &= (li < lj) | (i < j) if same else (li < lj) | ((li == lj) & (i < j))
-        i, j = i[keep], j[keep]
+    def fits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs may reach the bound if the shard's word is the first that they share."""
         d = np.bitwise_count(self.fp[i] ^ self.fp[j]).sum(axis=1, dtype=np.int64)
-        keep = d <= self.far[self.len[i] + self.len[j]]
-        if keep.any():
-            self.out.append((i[keep], j[keep]))
-
-    def search(self, at: np.ndarray, depth: int = 0) -> None:
-        """Pairs within `at`: a vantage point parts it at the median distance; each part is searched by itself, and across the boundary only what lies within the bound of it."""
-        if len(at) <= LEAF or depth > 40:
-            self.compare(at, at, True)
-            return
-        d = self.distance(int(at[0]), at)
-        mid = int(np.median(d))
-        inner = d <= mid
-        if inner.all():
-            inner = d < mid
-        if not inner.any() or inner.all():
-            self.compare(at, at, True)
+        return self.pos[i] + self.pos[j] + np.maximum(d, np.abs(self.rest[i] - self.rest[j])) <= self.far[self.len[i] + self.len[j]]
+
+    def _by_position(self, at: np.ndarray) -> list[np.ndarray]:
+        """Records of one position each, in order of length."""
+        at = at[np.lexsort((self.len[at], self.pos[at]))]
+        return np.split(at, np.flatnonzero(np.diff(self.pos[at])) + 1)
+
+    def search(self, at: np.ndarray) -> None:
+        """Pairs within `at`."""
+        groups = self._by_position(at)
+        for k, a in enumerate(groups):
+            for b in groups[k:]:
+                self.meet(a, b, self._radius(a, b), a is b)
+
+    def search_between(self, at: np.ndarray, other: np.ndarray) -> None:
+        """Pairs of a record in `at` and one in `other`."""
+        others = self._by_position(other)
+        for a in self._by_position(at):
+            for b in others:
+                self.meet(a, b, self._radius(a, b), False)
+
+    def _radius(self, a: np.ndarray, b: np.ndarray) -> int:
+        if not len(a) or not len(b):
+            return -1
+        return int(self.far_within[self.len[a[-1]] + self.len[b[-1]]] - self.pos[a[0]] - self.pos[b[0]])
+
+    def meet(self, a: np.ndarray, b: np.ndarray, r: int, same: bool) -> None:
+        """Pairs of a and b (of a, if same), each in order of length, within the radius: a vantage point parts a at its median distance from it, and to each part come those of b that the triangle inequality lets reach it."""
+        if r < 0 or not len(a) or not len(b):
             return
-        a, b, da, db = at[inner], at[~inner], d[inner], d[~inner]
-        self.search(a, depth + 1)
-        self.search(b, depth + 1)
-        self.across(a, da, b, db)
-
-    def across(self, a: np.ndarray, da: np.ndarray, b: np.ndarray, db: np.ndarray) -> None:
-        """Pairs of inner and outer records: by the triangle inequality their distances to the vantage point differ by no more than their own distance."""
-        near = da >= db.min() - self.most
-        a, da = a[near], da[near]
-        if not len(a):
-            return
-        order, other = np.argsort(da, kind="stable"), np.argsort(db, kind="stable")
-        a, da, b, db = a[order], da[order], b[other], db[other]
-        for k in range(0, len(a), LEAF):
-            hi = np.searchsorted(db, da[min(k + LEAF, len(a)) - 1] + self.most, side="right")
-            lo = np.searchsorted(db, da[k] - self.most, side="left")
-            self.compare(a[k : k + LEAF], b[lo:hi], False)
+        if len(a) * len(b) > LEAF * LEAF and len(a) > 1:
+            v = int(a[len(a) // 2])
+            da = self.distance(v, a)
+            db = da if same else self.distance(v, b)
+            mid = int(np.median(da))
+            inner = da <= mid
+            if inner.all():
+                inner, mid = da < mid, mid - 1
+            to_inner, to_outer = db <= mid + r, db > mid - r
+            # Where the bound lets nearly all pass, parting them only costs.
+            if inner.any() and not inner.all() and to_inner.sum() + to_outer.sum() <= 1.9 * len(b):
+                if same:
+                    self.meet(a[inner], a[inner], r, True)
+                    self.meet(a[~inner], a[~inner], r, True)
+                    self.meet(a[inner & (da > mid - r)], a[~inner & (da <= mid + r)], r, False)
+                else:
+                    self.meet(a[inner], b[to_inner], r, False)
+                    self.meet(a[~inner], b[to_outer], r, False)
+                return
+        self._compare(a, b, r, same)
+
+    def _compare(self, a: np.ndarray, b: np.ndarray, r: int, same: bool) -> None:
+        rest = self.rest[b]
+        for k in range(0, len(a), 256):
+            x = a[k : k + 256]
+            # The words after the shard's can't differ by less than their numbers do.
+            lo = np.searchsorted(rest, self.rest[x[0]] - r)
+            hi = np.searchsorted(rest, self.rest[x[-1]] + r, side="right")
+            if same:
+                lo = max(lo, k)
+            for m in range(lo, hi, 4096):
+                y = b[m : min(m + 4096, hi)]
+                self.tested += len(x) * len(y)
+                d = np.bitwise_count(self.fp[x, 0][:, None] ^ self.fp[y, 0][None, :])
+                if r > 12:
+                    # One half of the fingerprint tells little at such a distance.
+                    d += np.bitwise_count(self.fp[x, 1][:, None] ^ self.fp[y, 1][None, :])
+                near = np.flatnonzero(d <= min(r, 255))
+                if not len(near):
+                    continue
+                i, j = near // len(y), near % len(y)
+                if same:
+                    keep = i + k < j + m
+                    i, j = i[keep], j[keep]
+                i, j = x[i], y[j]
+                keep = self.fits(i, j)
+                if keep.any():
+                    self.out.append((i[keep], j[keep]))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.out:
@@ -136,12 +143,13 @@ class Shard:
         return np.concatenate([i for i, _ in self.out]), np.concatenate([j for _, j in self.out])
 
 
-def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
-    """(sid_a, sid_b), sid_a < sid_b: all pairs of different word sets whose overlap is at least `similarity`; sets has sid and words, each sid once."""
+def similar_sets(sets: DataFrame, similarity: float, counts: np.ndarray | None = None) -> DataFrame:
+    """(sid_a, sid_b), sid_a < sid_b: all pairs of different word sets whose overlap is at least `similarity`; sets has sid and words, each sid once. counts: how often words of each hash bucket occur, in these sets or in more."""
     ship(sets.sparkSession)
     t = as_fraction(similarity)
     p, q = t.numerator, t.denominator
-    counts = bucket_counts(sets)
+    if counts is None:
+        counts = bucket_counts(sets)
 
     def shards(batches):
         """Each set goes to one shard for every word of its prefix, rare words first. Sets whose overlap reaches the bound share a word of their prefixes, so some shard holds both, and the boundary between shards needs no other search."""
@@ -149,24 +157,21 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
             words, lengths = flat(batch.column("words"))
             sid = batch.column("sid").to_numpy(zero_copy_only=False)
             w, row, pos, c = rare_first(words, lengths, counts)
-            fp = fingerprints(w, row, len(lengths))
+            fp = suffix_fingerprints(w, row)
             n = lengths[row]
             keep = (pos <= n - -(-n * p // q)) & (c > 1)
-            w, row, pos, c, n = w[keep], row[keep], pos[keep], c[keep], n[keep]
+            w, row, pos, c, n, fp = w[keep], row[keep], pos[keep], c[keep], n[keep], fp[keep]
             # Shards that outgrow a block are spread over all pairs of blocks.
             parts = np.maximum(1, -(-c // BLOCK))
-            mine = sid[row].astype(np.uint64) % parts.astype(np.uint64)
             rep = np.repeat(np.arange(len(w)), parts)
             other = np.arange(len(rep)) - np.repeat(np.cumsum(parts) - parts, parts)
-            mine = mine.astype(np.int64)[rep]
+            mine = (sid[row].astype(np.uint64) % parts.astype(np.uint64)).astype(np.int64)[rep]
             lo, hi = np.minimum(mine, other), np.maximum(mine, other)
-            r = row[rep]
-            cols = [w[rep], lo, hi, mine, sid[r], n[rep], n[rep] - pos[rep]]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([*[pa.array(x).cast(k) for x, k in zip(cols, kinds)], *[pa.array(fp[r, i].view(np.int64)) for i in range(FP_WORDS)]], names=["w", "lo", "hi", "block", "sid", "len", "left", *[f"f{i}" for i in range(FP_WORDS)]])
+            cols = [w[rep], (lo << 32) | hi, sid[row[rep]], (n[rep] << 32) | (pos[rep] << 1) | (mine != lo), *fp[rep].view(np.int64).T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names=["w", "cell", "sid", "at", *[f"f{i}" for i in range(FP_WORDS)]])
 
-    cells = sets.select("sid", "words").mapInArrow(shards, "w long, lo int, hi int, block int, sid long, len int, left int, " + ", ".join(f"f{i} long" for i in range(FP_WORDS)))
-    cells = cells.repartition("w", "lo", "hi").sortWithinPartitions("w", "lo", "hi")
+    cells = sets.select("sid", "words").mapInArrow(shards, "w long, cell long, sid long, at long, " + ", ".join(f"f{i} long" for i in range(FP_WORDS)))
+    cells = cells.repartition("w", "cell").sortWithinPartitions("w", "cell")
 
     def search(batches):
         kept = None
@@ -188,9 +193,9 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _cell_starts(t: pa.Table) -> np.ndarray:
-    w, lo, hi = (t[c].to_numpy() for c in ("w", "lo", "hi"))
+    w, cell = t["w"].to_numpy(), t["cell"].to_numpy()
     new = np.ones(len(w), dtype=bool)
-    new[1:] = (w[1:] != w[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    new[1:] = (w[1:] != w[:-1]) | (cell[1:] != cell[:-1])
     return np.flatnonzero(new)
 
 
@@ -204,79 +209,88 @@ def _search_cells(t: pa.Table, sim: Fraction) -> pa.RecordBatch:
     t = t.combine_chunks()
     starts = _cell_starts(t)
     ends = np.append(starts[1:], len(t))
-    sid, length, left, block, lo, hi = (t[c].to_numpy() for c in ("sid", "len", "left", "block", "lo", "hi"))
+    cell, sid, at = (t[c].to_numpy() for c in ("cell", "sid", "at"))
+    length, pos, upper = at >> 32, (at & 0xFFFFFFFF) >> 1, (at & 1) > 0
+    apart = (cell >> 32) != (cell & 0xFFFFFFFF)
     fp = np.stack([t[f"f{i}"].to_numpy().view(np.uint64) for i in range(FP_WORDS)], axis=1)
     sizes = ends - starts
     left_ids, right_ids = [], []
-    for i, j in _small_cells(fp, length, left, np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes, sizes), block, lo, hi, sim):
+    for i, j in _small_cells(fp, length, pos, np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes, sizes), upper, apart, sim):
         left_ids.append(sid[i])
         right_ids.append(sid[j])
     for s, e in zip(starts[sizes > SMALL], ends[sizes > SMALL]):
-        shard = Shard(fp[s:e], length[s:e], left[s:e], sim)
-        if lo[s] == hi[s]:
-            shard.search(np.arange(e - s))
+        shard = Shard(fp[s:e], length[s:e], pos[s:e], sim)
+        if apart[s]:
+            shard.search_between(np.flatnonzero(~upper[s:e]), np.flatnonzero(upper[s:e]))
         else:
-            own = block[s:e] == lo[s]
-            shard.compare(np.flatnonzero(own), np.flatnonzero(~own), False)
+            shard.search(np.arange(e - s))
         i, j = shard.pairs()
         left_ids.append(sid[s:e][i])
         right_ids.append(sid[s:e][j])
     a = np.concatenate(left_ids) if left_ids else np.empty(0, np.int64)
     b = np.concatenate(right_ids) if right_ids else np.empty(0, np.int64)
-    ok = a != b
-    lo_, hi_ = np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])
+    lo_, hi_ = np.minimum(a, b), np.maximum(a, b)
     if len(lo_):
         lo_, hi_ = np.unique(np.stack([lo_, hi_], axis=1), axis=0).T
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(lo_)), pa.array(np.ascontiguousarray(hi_))], names=["sid_a", "sid_b"])
 
 
-def _small_cells(fp, length, left, cell, size, block, lo, hi, t: Fraction):
+def _small_cells(fp, length, pos, cell, size, upper, apart, t: Fraction):
     """Pairs of the cells of at most SMALL records, all cells at once: each record with the next, the one after it, and so on."""
     at = np.flatnonzero((size > 1) & (size <= SMALL))
     if not len(at):
         return
-    shard = Shard(fp[at], length[at], left[at], t)
-    cell, block, apart = cell[at], block[at], (lo != hi)[at]
+    shard = Shard(fp[at], length[at], pos[at], t)
+    cell, upper, apart = cell[at], upper[at], apart[at]
     for off in range(1, SMALL):
         i = np.flatnonzero(cell[:-off] == cell[off:])
         if not len(i):
             return
         j = i + off
-        li, lj = shard.len[i], shard.len[j]
-        keep = (lj <= shard.reach[i]) & (li <= shard.reach[j]) & (~apart[i] | (block[i] != block[j]))
-        i, j, far = i[keep], j[keep], shard.far[li[keep] + lj[keep]]
-        keep = np.bitwise_count(shard.fp[i] ^ shard.fp[j]).sum(axis=1, dtype=np.int64) <= far
+        keep = ~apart[i] | (upper[i] != upper[j])
+        i, j = i[keep], j[keep]
+        keep = shard.fits(i, j)
         yield at[i[keep]], at[j[keep]]
 
 
 def text_sets(df: DataFrame, texts: tuple[str, ...], *, key: str) -> DataFrame:
-    """key, sid, words of the rows whose texts all have something other than white space and at least one word; the texts are joined by blanks."""
+    """key, words of the rows whose texts all have something other than white space and at least one word; the texts are joined by blanks."""
     whole = None
     for c in texts:
         has = F.col(c).rlike(r"(?U)\S")
         whole = has if whole is None else whole & has
     rows = df.filter(whole).select(F.col(key).alias("key"), word_hashes(F.concat_ws(" ", *[F.col(c) for c in texts])).alias("words"))
-    return rows.filter(F.size("words") > 0).withColumn("sid", set_id(F.col("words")))
+    return rows.filter(F.size("words") > 0)
 
 
 def near_duplicates(df: DataFrame, *, key: str = "news_id", texts: tuple[str, ...] = ("headline", "snippet"), similarity: float = 0.65) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has key and sid, the id of the row's word set; links has sid_a, sid_b of all pairs of different sets with an overlap of at least `similarity`.
 
     Rows with equal word sets are one member class and are never compared with each other.
-    A text's fingerprint is the parity of its words in 256 bits; Hamming distance between
+    A fingerprint is the parity of words in 128 bits; Hamming distance between
     fingerprints never exceeds the number of differing words, so the bound on overlap
-    gives a radius and no pair is lost. Fingerprints are partitioned into shards by the
-    words of a prefix, rare words first, which any two similar sets share, and into
-    vantage-point trees by Hamming distance within a shard; branches are pruned by the
-    triangle inequality, and pairs across the median boundary are sought only among the
-    records within the radius of it. What is left is counted exactly on the sets.
+    gives a radius and no pair is lost. Records are partitioned into shards by the words
+    of a prefix, rare words first, which any two similar sets share. Where the shard's
+    word is the first that two sets share, all words before it differ: the radius is the
+    bound less both positions, and it is the fingerprints of the words after it that must
+    lie within it. Large shards are parted at vantage points, pruned by the triangle
+    inequality with that radius. What is left is counted exactly on the sets.
 
     Null or blank texts take no part, nor do texts without a letter or digit. Repeated
     keys are separate rows. Empty tables give no rows; extra columns are ignored.
     """
     rows = cut(text_sets(df, texts, key=key))
-    sets = rows.select("sid", "words").dropDuplicates(["sid"])
-    return rows.select(F.col("key").alias(key), "sid"), similar_sets(cut(sets), similarity)
+    # Counts of all rows serve as well as those of distinct sets, and need no shuffle.
+    counts = bucket_counts(rows)
+    seed = 0
+    while True:
+        # Ids are drawn again should two sets get the same one.
+        ids = rows.withColumn("sid", set_id(F.col("words"), seed))
+        check = set_id(F.col("words"), -1)
+        if ids.groupBy("sid").agg((F.min(check) < F.max(check)).alias("two")).filter("two").isEmpty():
+            break
+        seed += 1
+    return ids.select(F.col("key").alias(key), "sid"), similar_sets(ids.select("sid", "words").dropDuplicates(["sid"]), similarity, counts)
 
 
 def expanded_pairs(members: DataFrame, links: DataFrame, *, key: str = "news_id") -> DataFrame:

@@ -19,9 +19,9 @@ def word_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
 
 
-def set_id(words: Column) -> Column:
+def set_id(words: Column, seed: int = 0) -> Column:
     """One id for equal word sets."""
-    return F.xxhash64(F.array_sort(words))
+    return F.xxhash64(F.lit(seed), F.array_sort(words))
 
 
 def wide_set_id(words: Column) -> Column:

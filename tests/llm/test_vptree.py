@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 
 from quotemill.llm import vptree as V
-from quotemill.llm.vptree import Shard, classes, expanded_pairs, fingerprints, near_duplicates
-from quotemill.llm.wordsets import as_fraction
+from quotemill.llm.vptree import Shard, classes, expanded_pairs, near_duplicates, suffix_fingerprints
+from quotemill.llm.wordsets import COUNT_BITS, as_fraction, rare_first
 
 KIND = "news_id long, headline string, snippet string, sid string, words int"
 
@@ -40,31 +40,68 @@ def test_all_pairs(spark, t, leaf, block, small, monkeypatch):
     assert sorted(tuple(r) for r in got) == brute(rows, t)
 
 
-def test_tree_finds_what_comparison_finds(monkeypatch):
-    r = np.random.default_rng(2)
-    monkeypatch.setattr(V, "LEAF", 32)
-    base = [r.choice(400, 40, replace=False) for _ in range(12)]
-    sets = [np.unique(np.where(r.random(40) < 0.12, r.integers(400, 900, 40), base[i % 12])) for i in range(600)]
-    words, row = np.concatenate(sets).astype(np.int64), np.repeat(np.arange(600), [len(s) for s in sets])
-    fp = fingerprints(words, row, 600)
-    n = np.array([len(s) for s in sets])
-    t = as_fraction(0.65)
-    tree = Shard(fp, n, n, t)
-    tree.search(np.arange(600))
-    flat = Shard(fp, n, n, t)
-    flat.compare(np.arange(600), np.arange(600), True)
-    ids = lambda s: {tuple(sorted(p)) for p in zip(*map(np.ndarray.tolist, s.pairs()))}
-    assert ids(tree) == ids(flat) and len(ids(tree)) > 1000 and tree.tested < flat.tested
-    true = {(a, b) for a in range(600) for b in range(a + 1, 600) if len(set(sets[a]) & set(sets[b])) * 33 >= (n[a] + n[b]) * 13}
-    assert true <= ids(tree)
+def shards(sets, t, order=None):
+    """Every shard of some sets as (ids, Shard), with the similar pairs for which its word is the first shared one."""
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    sizes = np.array([len(x) for x in sets])
+    words, row, pos, _ = rare_first(np.concatenate(sets).astype(np.int64), sizes, counts if order is None else order)
+    fp = suffix_fingerprints(words, row)
+    sorted_sets = np.split(words, np.cumsum(sizes)[:-1])
+    want = {}
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            both = np.intersect1d(sets[a], sets[b])
+            if len(both) * (t.numerator + t.denominator) >= (sizes[a] + sizes[b]) * t.numerator and len(both):
+                want.setdefault(next(w for w in sorted_sets[a].tolist() if w in set(both.tolist())), set()).add((a, b))
+    for w in np.unique(words):
+        at = np.flatnonzero(words == w)
+        yield row[at], Shard(fp[at], sizes[row[at]], pos[at], t), want.get(int(w), set())
+
+
+def near_sets(n, r, size=40):
+    base = [r.choice(60, size, replace=False) for _ in range(12)]
+    return [np.unique(np.where(r.random(size) < 0.12, r.integers(60, 90, size), base[i % 12])) for i in range(n)]
+
+
+@pytest.mark.parametrize("leaf", [4, 16, 1024])
+def test_shards_hold_every_pair_at_its_first_shared_word(leaf, monkeypatch):
+    monkeypatch.setattr(V, "LEAF", leaf)
+    t, r, found = as_fraction(0.65), np.random.default_rng(2), 0
+    for ids, shard, want in shards(near_sets(150, r), t):
+        shard.search(np.arange(len(ids)))
+        got = {tuple(sorted((int(ids[i]), int(ids[j])))) for i, j in zip(*shard.pairs())}
+        assert want <= got
+        found += len(want)
+        # The same across two halves of it.
+        two = Shard(shard.fp, shard.len, shard.pos, t)
+        two.search_between(np.arange(0, len(ids), 2), np.arange(1, len(ids), 2))
+        mixed = {tuple(sorted((int(ids[i]), int(ids[j])))) for i, j in zip(*two.pairs())}
+        half = {int(x): k % 2 for k, x in enumerate(ids)}
+        assert {p for p in want if half[p[0]] != half[p[1]]} <= mixed
+    assert found > 300
+
+
+def test_vantage_points_prune():
+    """The radius is small where the shard's word stands late, and trees then compare a part of the pairs."""
+    r = np.random.default_rng(4)
+    n, t = 6000, as_fraction(0.65)
+    fp = r.integers(0, 2**63, (n, V.FP_WORDS)).astype(np.uint64)
+    group = np.repeat(np.arange(n // 4), 4)
+    fp = fp[group] ^ np.where(np.arange(n) % 4 == 1, np.uint64(4), np.uint64(0))[:, None]
+    shard = Shard(fp, np.full(n, 60), np.full(n, 11), t)
+    shard.search(np.arange(n))
+    whole = Shard(fp, np.full(n, 60), np.full(n, 11), t)
+    whole._compare(np.arange(n), np.arange(n), whole._radius(np.arange(n), np.arange(n)), True)
+    key = lambda s: {tuple(sorted(p)) for p in zip(*map(np.ndarray.tolist, s.pairs()))}
+    assert key(shard) == key(whole) and len(key(shard)) >= n // 4 * 6 and shard.tested < 0.7 * whole.tested
 
 
 def test_fingerprint_distance_is_a_lower_bound():
     r = np.random.default_rng(3)
     for _ in range(50):
         a, b = (np.unique(r.integers(0, 200, r.integers(1, 80))).astype(np.int64) for _ in range(2))
-        fp = fingerprints(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2)
-        assert np.bitwise_count(fp[0] ^ fp[1]).sum() <= len(np.setxor1d(a, b))
+        fp = suffix_fingerprints(np.concatenate([[-1], a, [-2], b]), np.repeat([0, 1], [len(a) + 1, len(b) + 1]))
+        assert np.bitwise_count(fp[0] ^ fp[len(a) + 1]).sum() <= len(np.setxor1d(a, b))
 
 
 def test_classes_hot_and_empty(spark):
@@ -81,19 +118,19 @@ def test_classes_hot_and_empty(spark):
 @pytest.mark.parametrize("t", [0.5, 0.65, 0.8])
 def test_short_sets_at_the_bound(t):
     t = as_fraction(t)
-    far = Shard(np.zeros((1, V.FP_WORDS), np.uint64), np.array([30]), np.array([30]), t).far
+    far = Shard(np.zeros((1, V.FP_WORDS), np.uint64), np.array([30]), np.array([0]), t).far
     # Pairs of n and n + 1 words may differ by more words than pairs of m and m words, though those are longer.
     n, m = next((n, m) for n in range(4, 30) for m in range(n + 1, n + 3) if far[2 * n + 1] > far[2 * m])
     kept = (2 * n + 1 - far[2 * n + 1]) // 2
     r = np.random.default_rng(5)
     sets = []
-    for _ in range(100):
+    for _ in range(60):
         x = r.choice(10**6, 2 * n, replace=False)
-        sets += [x[:n], np.concatenate([x[:kept], 10**6 + x[: n + 1 - kept]])]
-    sets += [r.choice(10**6, m, replace=False) for _ in range(20)]
-    words, size = np.concatenate(sets).astype(np.int64), np.array([len(s) for s in sets])
-    shard = Shard(fingerprints(words, np.repeat(np.arange(len(sets)), size), len(sets)), size, size, t)
-    shard.search(np.arange(len(sets)))
-    got = {tuple(sorted(p)) for p in zip(*map(np.ndarray.tolist, shard.pairs()))}
-    both = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(set(sets[a]) & set(sets[b])) * (t.numerator + t.denominator) >= (size[a] + size[b]) * t.numerator]
-    assert len(sets) > V.SMALL and len(both) >= 100 and set(both) <= got
+        sets += [np.append(x[: n - 1], 5), np.concatenate([[5], x[: kept - 1], 10**6 + x[: n + 1 - kept]])]
+    sets += [np.append(r.choice(10**6, m - 1, replace=False), 5) for _ in range(20)]
+    seen = 0
+    for ids, shard, want in shards(sets, t):
+        shard.search(np.arange(len(ids)))
+        assert want <= {tuple(sorted((int(ids[i]), int(ids[j])))) for i, j in zip(*shard.pairs())}
+        seen += len(want)
+    assert len(sets) > V.SMALL and seen >= 60
