@@ -16,6 +16,8 @@ from quotemill.session import cut, ship
 FP_WORDS = 2
 #: Cells of no more pairs than the square of this are compared at once, larger ones parted at a vantage point.
 LEAF = 1024
+#: Records that are compared with others at a time.
+CHUNK = 256
 #: Records of one shard that are searched in one piece; larger shards are split into pairs of blocks.
 BLOCK = 32768
 #: Cells of so few records are compared all at once instead of one after the other.
@@ -110,29 +112,32 @@ class Shard:
         self._compare(a, b, r, same)
 
     def _compare(self, a: np.ndarray, b: np.ndarray, r: int, same: bool) -> None:
-        rest = self.rest[b]
-        for k in range(0, len(a), 256):
-            x = a[k : k + 256]
+        rest, low, high = self.rest[b], self.fp[:, 0], self.fp[:, 1]
+        # One half of the fingerprint tells little at a large distance.
+        both = r > 12
+        ylow, yhigh = low[b], high[b] if both else None
+        for k in range(0, len(a), CHUNK):
+            x = a[k : k + CHUNK]
             # The words after the shard's can't differ by less than their numbers do.
             lo = np.searchsorted(rest, self.rest[x[0]] - r)
             hi = np.searchsorted(rest, self.rest[x[-1]] + r, side="right")
             if same:
                 lo = max(lo, k)
-            for m in range(lo, hi, 4096):
-                y = b[m : min(m + 4096, hi)]
-                self.tested += len(x) * len(y)
-                d = np.bitwise_count(self.fp[x, 0][:, None] ^ self.fp[y, 0][None, :])
-                if r > 12:
-                    # One half of the fingerprint tells little at such a distance.
-                    d += np.bitwise_count(self.fp[x, 1][:, None] ^ self.fp[y, 1][None, :])
-                near = np.flatnonzero(d <= min(r, 255))
+            xlow = low[x][:, None]
+            for m in range(lo, hi, 2048):
+                end = min(m + 2048, hi)
+                self.tested += len(x) * (end - m)
+                d = np.bitwise_count(xlow ^ ylow[m:end])
+                if both:
+                    d += np.bitwise_count(high[x][:, None] ^ yhigh[m:end])
+                near = (d <= r).ravel().nonzero()[0]
                 if not len(near):
                     continue
-                i, j = near // len(y), near % len(y)
+                i, j = near // (end - m) + k, near % (end - m) + m
                 if same:
-                    keep = i + k < j + m
+                    keep = i < j
                     i, j = i[keep], j[keep]
-                i, j = x[i], y[j]
+                i, j = a[i], b[j]
                 keep = self.fits(i, j)
                 if keep.any():
                     self.out.append((i[keep], j[keep]))
@@ -254,13 +259,12 @@ def _small_cells(fp, length, pos, cell, size, upper, apart, t: Fraction):
 
 
 def text_sets(df: DataFrame, texts: tuple[str, ...], *, key: str) -> DataFrame:
-    """key, words of the rows whose texts all have something other than white space and at least one word; the texts are joined by blanks."""
+    """key, words (sorted) of the rows whose texts all have something other than white space; the texts are joined by blanks."""
     whole = None
     for c in texts:
         has = F.col(c).rlike(r"(?U)\S")
         whole = has if whole is None else whole & has
-    rows = df.filter(whole).select(F.col(key).alias("key"), word_hashes(F.concat_ws(" ", *[F.col(c) for c in texts])).alias("words"))
-    return rows.filter(F.size("words") > 0)
+    return df.filter(whole).select(F.col(key).alias("key"), F.array_sort(word_hashes(F.concat_ws(" ", *[F.col(c) for c in texts]))).alias("words"))
 
 
 def near_duplicates(df: DataFrame, *, key: str = "news_id", texts: tuple[str, ...] = ("headline", "snippet"), similarity: float = 0.65) -> tuple[DataFrame, DataFrame]:
@@ -279,18 +283,16 @@ def near_duplicates(df: DataFrame, *, key: str = "news_id", texts: tuple[str, ..
     Null or blank texts take no part, nor do texts without a letter or digit. Repeated
     keys are separate rows. Empty tables give no rows; extra columns are ignored.
     """
-    rows = cut(text_sets(df, texts, key=key))
+    # Rows without words are dropped after the cut: a filter before it would have the words made twice.
+    rows = cut(text_sets(df, texts, key=key).withColumns({"sid": set_id(F.col("words")), "check": set_id(F.col("words"), -1)})).filter(F.size("words") > 0)
     # Counts of all rows serve as well as those of distinct sets, and need no shuffle.
     counts = bucket_counts(rows)
     seed = 0
-    while True:
-        # Ids are drawn again should two sets get the same one.
-        ids = rows.withColumn("sid", set_id(F.col("words"), seed))
-        check = set_id(F.col("words"), -1)
-        if ids.groupBy("sid").agg((F.min(check) < F.max(check)).alias("two")).filter("two").isEmpty():
-            break
+    while not rows.groupBy("sid").agg((F.min("check") < F.max("check")).alias("two")).filter("two").isEmpty():
+        # Two sets got the same id: all are drawn again.
         seed += 1
-    return ids.select(F.col("key").alias(key), "sid"), similar_sets(ids.select("sid", "words").dropDuplicates(["sid"]), similarity, counts)
+        rows = rows.withColumn("sid", set_id(F.col("words"), seed))
+    return rows.select(F.col("key").alias(key), "sid"), similar_sets(rows.select("sid", "words").dropDuplicates(["sid"]), similarity, counts)
 
 
 def expanded_pairs(members: DataFrame, links: DataFrame, *, key: str = "news_id") -> DataFrame:

@@ -20,8 +20,8 @@ def word_hashes(text: Column) -> Column:
 
 
 def set_id(words: Column, seed: int = 0) -> Column:
-    """One id for equal word sets."""
-    return F.xxhash64(F.lit(seed), F.array_sort(words))
+    """One id for equal word sets, given as sorted arrays."""
+    return F.xxhash64(F.lit(seed), words)
 
 
 def wide_set_id(words: Column) -> Column:
@@ -47,9 +47,17 @@ def as_fraction(similarity: float) -> Fraction:
 def bucket_counts(sets: DataFrame, words: str = "words") -> np.ndarray:
     """How often words of each hash bucket occur in all sets. Any fixed order of words gives the right pairs; this one makes them cheap to find. Counted in full, combined before the shuffle, and of one size for every corpus."""
     size = 1 << COUNT_BITS
-    rows = sets.select(F.explode(words).alias("w")).groupBy(F.pmod("w", F.lit(size)).cast("int").alias("b")).count().toArrow()
+
+    def run(batches):
+        total = np.zeros(size, dtype=np.int64)
+        for b in batches:
+            total += np.bincount(flat(b.column(0))[0] & (size - 1), minlength=size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["b", "n"])
+
+    rows = sets.select(words).mapInArrow(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(size, dtype=np.int64)
-    counts[rows["b"].to_numpy()] = rows["count"].to_numpy()
+    counts[rows["b"].to_numpy()] = rows["n"].to_numpy()
     return counts
 
 
@@ -65,6 +73,13 @@ def rare_first(values: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> t
     """Words of every row sorted by (count of their bucket, hash): the words, their row, their position in it, and their counts."""
     row = np.repeat(np.arange(len(lengths)), lengths)
     c = counts[values & ((1 << COUNT_BITS) - 1)]
-    order = np.lexsort((values, c, row))
     starts = np.cumsum(lengths) - lengths
+    order = np.arange(len(values))
+    # Rows of one length at a time are a matrix, of which each row is sorted by itself.
+    for n in np.unique(lengths[lengths > 1]):
+        at = np.add.outer(starts[lengths == n], np.arange(n))
+        by_value = np.argsort(values[at], axis=1)
+        at = np.take_along_axis(at, by_value, axis=1)
+        by_count = np.argsort(c[at], axis=1, kind="stable")
+        order[np.add.outer(starts[lengths == n], np.arange(n))] = np.take_along_axis(at, by_count, axis=1)
     return values[order], row, np.arange(len(values)) - np.repeat(starts, lengths), c[order]
