@@ -231,7 +231,45 @@ Accueil Contact Mentions légales
 Startseite Kontakt Impressum
 Inicio Contacto Aviso legal"""
 
-#: Words by which a passage shows that it speaks of a template instead of having been left as one.
+#: Values that were never filled in, as templates of many kinds write them. FIELD is a name (a word, or several joined by one
+#: sign), TEXT anything up to the closing signs, NAME one or more words that must pass for the name of a field by their form.
+PLACEHOLDER = """{{TEXT}}
+{% FIELD TEXT? %}
+<% TEXT %>
+<%= TEXT %>
+${FIELD}
+#{FIELD}
+{FIELD}
+%(FIELD)s
+%(FIELD)d
+%(FIELD)f
+@@FIELD@@
+*| LINE |*
+$$FIELD$$
+<< FIELD >>
+[[ FIELD ]]
+__FIELD__
+%FIELD%
+<NAME>
+[NAME]
+[insert LINE]
+[enter LINE]
+[add LINE]
+(insert LINE)
+(enter LINE)
+(add LINE)
+<insert LINE>
+<enter LINE>
+<add LINE>
+[LINE here]
+[your LINE]"""
+
+#: Words of which the names of fields are made; a name in single brackets that has others is judged by what stands around it.
+FIELDS = """first last full user company client customer analyst speaker author city place region country date month quarter session
+ticker symbol issuer amount value volume revenue price margin total count num number eps target reason percent pct title headline
+source link url name report close prior as of change"""
+
+#: Each word is an exemplar of how a passage shows that it speaks of a template instead of having been left as one.
 MENTION = """template templates templated placeholder placeholders variable variables syntax draft drafts mock mockup mockups
 tutorial documentation developer developers markup snippet merge mailmerge tag tags literal literally braces brackets curly backticks
 example examples sample samples quoted quotes quoting slip typo lorem parser compiler programmers coders

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from quotemill.llm.residue import Matcher, residue_marks
+from quotemill.llm.residue import KINDS, Matcher, exemplars, plain, residue_marks, tokens
 
 RESIDUE = [
     "Please enable JavaScript to view this page.",
@@ -77,7 +79,7 @@ def test_extra_exemplars(spark):
 
 def found(text):
     """Placeholders of a text, where no word marks a mention."""
-    return Matcher([], {}, 1.0).unfilled(text)
+    return Matcher([x for x in exemplars() if x[0] == "placeholder"], {}, 1.0).unfilled(text)
 
 
 @pytest.mark.parametrize("tag", ["*|EPS|*", "*|CLOSE_PRICE|*", "*|LIST:COMPANY NAME|*", "$$region$$", "$$company.name$$", "$$as_of$$"])
@@ -129,5 +131,43 @@ def test_long_and_broken_fields(field):
     assert found(f"Analysts put the payout of {field} at 12 million, a rise of 3 percent on the year.") == 1
 
 
+@pytest.mark.parametrize("field", ["((enter symbol))", "%PCT_CHANGE%%", "[[ region ]]", "<<amount>>", "#{total}"])
+def test_signs_around(field):
+    assert found(f"Analysts put the payout of {field} at 12 million, a rise of 3 percent on the year.") == 1
+
+
+def test_more_labelled_placeholders(spark):
+    kinds = exemplars([("placeholder", "~~FIELD~~")])
+    m = Matcher([x for x in kinds if x[0] in ("placeholder", "mention")], dict.fromkeys((w for _, ws in kinds for w in ws), 5.0), 5.0)
+    assert m.unfilled("The price rose to ~~price~~ on Friday.") == 1
+    assert m.unfilled("The template has ~~price~~ for it.") == 0
+
+
+def test_no_text_is_told_from_its_words_that_could_be_covered():
+    """could_cover is never below the coverage, whatever the weights and the words set aside as a name."""
+    r = random.Random(3)
+    kinds = exemplars()
+    vocabulary = sorted({w for kind, ws in kinds if kind != "placeholder" for w in ws})
+    lines = [" ".join(sorted(ws)) for kind, ws in kinds if kind in KINDS]
+    covered = 0
+    for _ in range(2000):
+        weights = {w: r.uniform(0.5, 12) for w in vocabulary}
+        m = Matcher([x for x in kinds if x[0] in KINDS] if r.random() < 0.1 else kinds[:40], weights, r.uniform(0.5, 8))
+        lead = " ".join(r.choice([r.choice(vocabulary), "acme", "holdings", "x9"]) for _ in range(r.randint(0, 6)))
+        body = r.choice(lines) + r.choice([". ", " ", "\n"]) + " ".join(r.choice(["acme", "word", r.choice(vocabulary)]) for _ in range(r.randint(0, 6)))
+        text = r.choice([lead + " " + body, lead + ". " + body, body])
+        got = m.coverage(text)[0]
+        for least in (0.3, 0.5, 0.8):
+            if got >= least:
+                covered += 1
+                assert m.could_cover(tokens(plain(text)), least), text
+    assert covered > 300
+
+
+def test_a_heavy_lead_is_no_reason_to_skip(spark):
+    df = spark.createDataFrame([(1, "gabarit parser mailmerge backticks. Page not found")] + [(10 + i, t) for i, t in enumerate(FILL * 10)], "doc_id long, text string")
+    assert [r.doc_id for r in residue_marks(df).filter("residue").collect()] == [1]
+
+
 def test_long_pointers_are_content():
     assert found("The court ruled in May [the full text of the ruling and of the dissent can be read here] for Acme.") == 0
