@@ -6,14 +6,21 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.columns import entity_key
-from quotemill.session import ship
+from quotemill.session import broadcast_within, ship
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
+#: Steps of a doubling by which moves are counted.
+MOVE_STEPS = 4096
+#: Sources whose usual moves may be broadcast: two numbers each.
+MAX_BROADCAST_SOURCES = 200_000
+#: Bars whose blocks are judged together.
+ROWS_AT_ONCE = 50_000
 KINDS = np.array(["normal", "spike", "stuck", "out_of_range"], dtype=object)
 
 
@@ -43,10 +50,6 @@ class SpikeModel:
     run: int = 5  # equal values that count as stuck
 
 
-def _median(x: np.ndarray) -> float:
-    return float(np.median(x)) if len(x) else math.nan
-
-
 def _excursions(x: np.ndarray, usual: float, returned: float, m: SpikeModel) -> np.ndarray:
     """For each log price, its least distance in usual moves to the prices before and after an excursion of at most max_spike bars that it is part of; 0 where more than `returned` of the move remains."""
     s = np.zeros(len(x))
@@ -66,19 +69,25 @@ def _excursions(x: np.ndarray, usual: float, returned: float, m: SpikeModel) ->
     k = m.level_near
     padded = np.concatenate([np.full(k, np.nan), x, np.full(k, np.nan)])
     near = np.stack([padded[j : j + len(x)] for j in range(2 * k + 1) if j != k])
-    s[np.abs(x - np.nanmedian(near, axis=0)) < m.apart * s * usual] = 0.0
+    s[np.abs(x - _middle(near)) < m.apart * s * usual] = 0.0
     return s
 
 
-def price_scores(close: np.ndarray, m: SpikeModel) -> np.ndarray:
-    """How far each close lies, in usual moves, from the closes both before and after its excursion. Clear excursions are told first; the others are then measured without them, and may come back to a level that changed meanwhile. NaN where there is no positive close."""
+def _middle(near: np.ndarray) -> np.ndarray:
+    """Median of each column without its NaN; NaN where there is nothing else."""
+    near = np.sort(near, axis=0)
+    n = np.count_nonzero(~np.isnan(near), axis=0)
+    at = np.arange(near.shape[1])
+    return (near[np.maximum(n - 1, 0) // 2, at] + near[n // 2, at]) / 2
+
+
+def price_scores(close: np.ndarray, m: SpikeModel, usual: float) -> np.ndarray:
+    """How far each close lies, in the source's usual moves, from the closes both before and after its excursion. Clear excursions are told first; the others are then measured without them, and may come back to a level that changed meanwhile. NaN where there is no positive close."""
     score = np.full(len(close), np.nan)
     at = np.flatnonzero(close > 0)
     x = np.log(close[at])
     s = np.zeros(len(x))
     if len(x) >= 3:
-        moves = np.abs(np.diff(x))
-        usual = _median(moves[moves > 0])
         usual = max(usual if usual == usual else 0.0, 1e-4)
         s = _excursions(x, usual, m.returned, m)
         rest = s < m.clear
@@ -98,10 +107,7 @@ def volume_scores(volume: np.ndarray, m: SpikeModel) -> np.ndarray:
         padded = np.full(n + 2 * k, np.nan)
         padded[k : k + n] = np.where(v > 0, v, np.nan)
         near = np.stack([padded[j : j + n] for j in range(2 * k + 1) if j != k])
-        known = ~np.isnan(near)
-        usual = np.full(n, np.nan)
-        some = known.any(axis=0)
-        usual[some] = np.nanmedian(near[:, some], axis=0)
+        usual = _middle(near)
         score[at] = np.where(np.isnan(usual), 0.0, np.abs(np.log((v + 1) / (usual + 1))))
     return score
 
@@ -118,45 +124,30 @@ def run_lengths(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward_backward(emit: list[tuple[float, float, float, float]], m: SpikeModel) -> np.ndarray:
-    """Posterior of the four states for each bar. emit: likelihoods, scaled freely per bar."""
+def forward_backward(emit: np.ndarray, m: SpikeModel) -> np.ndarray:
+    """Posterior of the four states for each bar of many series at once: emit and the result are series x bars x states. Likelihoods are scaled freely per bar; where all are 1, as after the end of a shorter series, a bar tells nothing."""
     a, ss, st, so = m.start, m.stay_spike, m.stay_stuck, m.stay_out
-    n = 1 - 3 * a
-    f: list[tuple[float, float, float, float]] = []
-    p = (n, a, a, a)
-    for e in emit:
-        v = (p[0] * e[0], p[1] * e[1], p[2] * e[2], p[3] * e[3])
-        z = v[0] + v[1] + v[2] + v[3]
-        v = (v[0] / z, v[1] / z, v[2] / z, v[3] / z) if z > 0 else p
-        f.append(v)
-        # States other than normal fall back to normal; straight changes among them go through `a`.
-        p = (
-            v[0] * n + v[1] * (1 - ss - a) + v[2] * (1 - st - a) + v[3] * (1 - so - a),
-            v[0] * a + v[1] * ss + v[2] * a / 2 + v[3] * a / 2,
-            v[0] * a + v[1] * a / 2 + v[2] * st + v[3] * a / 2,
-            v[0] * a + v[1] * a / 2 + v[2] * a / 2 + v[3] * so,
-        )
-    b = (1.0, 1.0, 1.0, 1.0)
-    out = np.empty((len(emit), 4))
-    for i in range(len(emit) - 1, -1, -1):
-        v = f[i]
-        g = (v[0] * b[0], v[1] * b[1], v[2] * b[2], v[3] * b[3])
-        z = g[0] + g[1] + g[2] + g[3]
-        out[i] = (g[0] / z, g[1] / z, g[2] / z, g[3] / z) if z > 0 else v
-        e = emit[i]
-        c = (e[0] * b[0], e[1] * b[1], e[2] * b[2], e[3] * b[3])
-        b = (
-            n * c[0] + a * (c[1] + c[2] + c[3]),
-            (1 - ss - a) * c[0] + ss * c[1] + a / 2 * (c[2] + c[3]),
-            (1 - st - a) * c[0] + st * c[2] + a / 2 * (c[1] + c[3]),
-            (1 - so - a) * c[0] + so * c[3] + a / 2 * (c[1] + c[2]),
-        )
-        z = b[0] + b[1] + b[2] + b[3]
-        b = (b[0] / z, b[1] / z, b[2] / z, b[3] / z) if z > 0 else (1.0, 1.0, 1.0, 1.0)
+    # States other than normal fall back to normal; straight changes among them go through `a`.
+    step = np.array([[1 - 3 * a, a, a, a], [1 - ss - a, ss, a / 2, a / 2], [1 - st - a, a / 2, st, a / 2], [1 - so - a, a / 2, a / 2, so]])
+
+    def scaled(v: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+        z = v.sum(axis=1, keepdims=True)
+        return np.where(z > 0, v / np.where(z > 0, z, 1.0), otherwise)
+
+    n, length, _ = emit.shape
+    out = np.empty(emit.shape)
+    p = np.broadcast_to(step[0], (n, 4))
+    for i in range(length):
+        out[:, i] = scaled(p * emit[:, i], p)
+        p = out[:, i] @ step
+    b = np.ones((n, 4))
+    for i in range(length - 1, -1, -1):
+        out[:, i] = scaled(out[:, i] * b, out[:, i])
+        b = scaled((emit[:, i] * b) @ step.T, np.ones(4))
     return out
 
 
-def _emissions(score: np.ndarray, same: np.ndarray, bad: np.ndarray, scale: float, log_uniform: bool, top: float, m: SpikeModel) -> list[tuple[float, float, float, float]]:
+def _emissions(score: np.ndarray, same: np.ndarray, bad: np.ndarray, scale: float, log_uniform: bool, top: float, m: SpikeModel) -> np.ndarray:
     q = np.where(np.isnan(score), 0.0, score)
     ordinary = np.exp(-np.minimum(q / scale, 600.0)) / scale
     wild = (1 / (np.maximum(q, 1.0) * math.log(top)) if log_uniform else np.full(len(q), 1 / top))
@@ -168,37 +159,66 @@ def _emissions(score: np.ndarray, same: np.ndarray, bad: np.ndarray, scale: floa
     e[np.isnan(score)] = 1.0
     e[bad] = (0.0, 0.0, 0.0, 1.0)
     e /= e.max(axis=1, keepdims=True)
-    return [tuple(r) for r in e.tolist()]
-
-
-def channel(x: np.ndarray, bad: np.ndarray, score: np.ndarray, scale: float, log_uniform: bool, top: float, m: SpikeModel) -> tuple[np.ndarray, np.ndarray]:
-    """State of each bar of one measurement and the chance that it isn't normal."""
-    runs = run_lengths(x)
-    post = forward_backward(_emissions(score, runs > 1, bad, scale, log_uniform, top, m), m)
-    state = np.where(post[:, NORMAL] < 0.5, 1 + post[:, 1:].argmax(axis=1), NORMAL)
-    state[np.isnan(x)] = NORMAL
-    # Exact checks: a stuck value must really have been repeated often enough, a hard bound really be broken.
-    state[(state == STUCK) & (runs < m.run)] = NORMAL
-    state[(state == OUT) & ~bad] = NORMAL
-    return state, 1 - post[:, NORMAL]
+    return e
+
+
+def flag_many(series: list[tuple[np.ndarray, np.ndarray, float]], m: SpikeModel = SpikeModel()) -> dict[str, np.ndarray]:
+    """Flags of the bars of several series, one after the other. Each is (close, volume, usual move of its source), in order of time, NaN where there is no reading."""
+    sizes = [len(c) for c, _, _ in series]
+    inside = np.arange(max(sizes, default=0)) < np.array(sizes, dtype=np.int64)[:, None]
+    out = {}
+    for name, scale, log_uniform, top in (("close", m.price_scale, True, m.price_top), ("volume", m.volume_scale, False, m.volume_top)):
+        emit = np.ones((*inside.shape, 4))
+        values, runs, bads = [], [], []
+        with np.errstate(invalid="ignore", divide="ignore"):
+            for k, (close, volume, usual) in enumerate(series):
+                x = close if name == "close" else volume
+                bad = x <= 0 if name == "close" else x < 0
+                score = np.where(bad, 0.0, price_scores(close, m, usual) if name == "close" else volume_scores(volume, m))
+                run = run_lengths(x)
+                emit[k, : len(x)] = _emissions(score, run > 1, bad, scale, log_uniform, top, m)
+                values.append(x), runs.append(run), bads.append(bad)
+        post = forward_backward(emit, m)[inside]
+        x, run, bad = (np.concatenate(v) if v else np.empty(0) for v in (values, runs, bads))
+        state = np.where(post[:, NORMAL] < 0.5, 1 + post[:, 1:].argmax(axis=1), NORMAL)
+        state[np.isnan(x)] = NORMAL
+        # Exact checks: a stuck value must really have been repeated often enough, a hard bound really be broken.
+        state[(state == STUCK) & (run < m.run)] = NORMAL
+        state[(state == OUT) & ~bad.astype(bool)] = NORMAL
+        out |= {f"{name}_flag": KINDS[state], f"{name}_odds": 1 - post[:, NORMAL]}
+    return out
 
 
-def flag_series(close: np.ndarray, volume: np.ndarray, m: SpikeModel = SpikeModel()) -> dict[str, np.ndarray]:
-    """Flags of one source's bars, in order of time; NaN where there is no reading."""
-    with np.errstate(invalid="ignore", divide="ignore"):
-        bad_c, bad_v = close <= 0, volume < 0
-        cs, cp = channel(close, bad_c, np.where(bad_c, 0.0, price_scores(close, m)), m.price_scale, True, m.price_top, m)
-        vs, vp = channel(volume, bad_v, np.where(bad_v, 0.0, volume_scores(volume, m)), m.volume_scale, False, m.volume_top, m)
-    return {"close_flag": KINDS[cs], "volume_flag": KINDS[vs], "close_odds": cp, "volume_odds": vp}
+def _previous(c: str, w: Window):
+    """The last positive value before a row."""
+    return F.last(F.when(F.col(c) > 0, F.col(c)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
 
 
 def _numbered(bars: DataFrame) -> DataFrame:
-    """bars with __rn, the rank of each bar in its source: ranks within a month plus the months before, so that no task sorts a whole source."""
-    months = bars.groupBy("__e", "__m").agg(F.count("*").alias("__size"))
-    before = Window.partitionBy("__e").orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = months.select("__e", "__m", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"), F.sum("__size").over(Window.partitionBy("__e")).alias("__all"))
+    """bars with __rn, the rank of each bar in its source, __all, the number of its bars, and __move, the absolute log move of its close from the last positive one: what holds within a month and what the months before bring, so that no task sorts a whole source."""
     within = Window.partitionBy("__e", "__m").orderBy("__t", "__id")
-    return bars.withColumn("__rn", F.row_number().over(within) - 1).join(offsets, ["__e", "__m"]).withColumn("__rn", F.col("__rn") + F.col("__before")).drop("__before")
+    rows = bars.withColumns({"__rn": F.row_number().over(within) - 1, "__prev": _previous("__c", within)})
+    months = bars.groupBy("__e", "__m").agg(F.count("*").alias("__size"), F.max_by(F.col("__c"), F.when(F.col("__c") > 0, F.struct("__t", "__id"))).alias("__last"))
+    months = months.withColumn("__last", F.when(F.col("__last") > 0, F.col("__last")))
+    by_month = Window.partitionBy("__e").orderBy("__m")
+    offsets = months.select(
+        "__e",
+        "__m",
+        F.coalesce(F.sum("__size").over(by_month.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        F.sum("__size").over(Window.partitionBy("__e")).alias("__all"),
+        _previous("__last", by_month).alias("__carried"),
+    )
+    out = rows.join(offsets, ["__e", "__m"])
+    return out.select("__e", "__id", "__t", "__c", "__v", (F.col("__rn") + F.col("__before")).alias("__rn"), "__all", F.when(F.col("__c") > 0, F.abs(F.ln(F.col("__c") / F.coalesce("__prev", "__carried")))).alias("__move"))
+
+
+def usual_moves(numbered: DataFrame) -> DataFrame:
+    """__e, __usual: the median of each source's moves other than zero, to one part in 6000. Moves are counted by steps of their logarithm, so that a source has a bounded number of counts however many bars it has."""
+    step = F.floor(F.log2("__move") * MOVE_STEPS)
+    counts = numbered.filter("__move > 0").groupBy("__e", step.alias("__k")).agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy("__e").orderBy("__k"))
+    ranked = counts.select("__e", "__k", upto.alias("__upto"), F.sum("__n").over(Window.partitionBy("__e")).alias("__of"))
+    return ranked.filter(F.col("__upto") * 2 >= F.col("__of")).groupBy("__e").agg(F.pow(F.lit(2.0), (F.min("__k") + 0.5) / MOVE_STEPS).alias("__usual"))
 
 
 def implausible(bars: DataFrame, *, key: str = "bar_id", entity: str = "ticker", at: str = "timestamp", close: str = "close", volume: str = "volume", model: SpikeModel = SpikeModel()) -> DataFrame:
@@ -210,7 +230,7 @@ def implausible(bars: DataFrame, *, key: str = "bar_id", entity: str = "ticker",
     come from the last state. The forward-backward posterior gives the flag; a stuck run
     must then be at least `run` bars long, counted exactly. A price score measures the
     distance to the closes both before and after an excursion of at most two bars in
-    the source's own usual moves, so a change of level or a split scores 0. A volume
+    the source's usual moves, the median over all its bars, so a change of level or a split scores 0. A volume
     score is the log ratio to the median of the ten bars on either side, so a few busy
     days stay ordinary.
 
@@ -229,16 +249,46 @@ def implausible(bars: DataFrame, *, key: str = "bar_id", entity: str = "ticker",
     b, h = model.block, model.halo
     rn = F.col("__rn")
     first, last = F.greatest(F.floor((rn - h) / b), F.lit(0)), F.least(F.floor((rn + h) / b), F.floor((F.col("__all") - 1) / b))
-    spread = _numbered(known).withColumn("__block", F.explode(F.sequence(first, last)))
+    numbered = _numbered(known)
+    spread = numbered.join(broadcast_within(usual_moves(numbered), MAX_BROADCAST_SOURCES), "__e", "left").withColumn("__block", F.explode(F.sequence(first, last)))
+    spread = spread.select("__e", "__block", "__rn", "__id", "__t", "__c", "__v", "__usual").repartition("__e", "__block").sortWithinPartitions("__e", "__block", "__rn")
     kind = f"__id {dict(bars.dtypes)['__id']}, __e string, __t timestamp, close_flag string, volume_flag string, close_odds double, volume_odds double"
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__rn", kind="stable")
-        flags = flag_series(pdf["__c"].to_numpy(float), pdf["__v"].to_numpy(float), model)
-        own = (pdf["__rn"] // b == pdf["__block"]).to_numpy()
-        return pd.DataFrame({"__id": pdf["__id"], "__e": pdf["__e"], "__t": pdf["__t"], **flags})[own]
-
-    flagged = spread.groupBy("__e", "__block").applyInPandas(judge, kind)
+    def judged(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        c, v, usual = (t[x].to_numpy().astype(float) for x in ("__c", "__v", "__usual"))
+        ends = np.append(starts[1:], len(t))
+        flags = flag_many([(c[i:j], v[i:j], usual[i]) for i, j in zip(starts, ends)], model)
+        cols = {x: t[x] for x in ("__id", "__e", "__t")} | {x: pa.array(flags[x]) for x in ("close_flag", "volume_flag", "close_odds", "volume_odds")}
+        own = pa.array(t["__rn"].to_numpy() // b == t["__block"].to_numpy())
+        return pa.table(cols).filter(own).combine_chunks()
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            if len(held) < ROWS_AT_ONCE:
+                continue
+            starts = _starts(held)
+            # The last block may go on in the next batch.
+            if len(starts) > 1:
+                yield from judged(held.slice(0, int(starts[-1])), starts[:-1]).to_batches()
+                held = held.slice(int(starts[-1]))
+        if held is not None and len(held):
+            yield from judged(held, _starts(held)).to_batches()
+
+    flagged = spread.mapInArrow(run, kind)
     rest = bars.filter("__e is null or __t is null").select("__id", "__e", "__t", F.lit("normal").alias("close_flag"), F.lit("normal").alias("volume_flag"), F.lit(None).cast("double").alias("close_odds"), F.lit(None).cast("double").alias("volume_odds"))
     out = flagged.unionByName(rest)
     return out.withColumnsRenamed({"__id": key, "__e": entity, "__t": at})
+
+
+def _starts(t: pa.Table) -> np.ndarray:
+    """Where each block of a source begins, in a table sorted by both."""
+    e, block = t["__e"].combine_chunks(), t["__block"].to_numpy()
+    new = np.ones(len(t), dtype=bool)
+    new[1:] = pc.not_equal(e.slice(1), e.slice(0, len(e) - 1)).to_numpy(zero_copy_only=False) | (block[1:] != block[:-1])
+    return np.flatnonzero(new)

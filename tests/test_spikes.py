@@ -2,7 +2,9 @@ import datetime as dt
 
 import numpy as np
 
-from quotemill.operators.spikes import SpikeModel, flag_series, implausible, run_lengths
+import pytest
+
+from quotemill.operators.spikes import SpikeModel, flag_many, forward_backward, implausible, run_lengths
 from tests.helpers import at
 
 
@@ -11,8 +13,14 @@ def series(n=200, seed=1):
     return np.round(100 * np.exp(np.cumsum(r.normal(0, 0.01, n))), 2), np.round(np.exp(r.normal(11, 0.3, n)))
 
 
+def flag_series(close, volume, m=SpikeModel()):
+    x = np.asarray(close, float)
+    moves = np.abs(np.diff(np.log(x[x > 0])))
+    return flag_many([(x, np.asarray(volume, float), float(np.median(moves[moves > 0])))], m)
+
+
 def flags(close, volume):
-    f = flag_series(np.asarray(close, float), np.asarray(volume, float))
+    f = flag_series(close, volume)
     return {i: v for i, v in enumerate(f["close_flag"]) if v != "normal"}, {i: v for i, v in enumerate(f["volume_flag"]) if v != "normal"}
 
 
@@ -70,6 +78,43 @@ def test_blocks_agree_with_one_pass(spark):
     assert small == {i: (whole["close_flag"][i], whole["volume_flag"][i]) for i in range(400)}
 
 
+def test_flags_do_not_depend_on_the_block(spark):
+    """The usual move is that of the whole source, though its first half is calmer than the second."""
+    r = np.random.default_rng(6)
+    sd = np.where(np.arange(5000) < 2500, 0.004, 0.02)
+    c = np.round(100 * np.exp(np.cumsum(r.normal(0, 1, 5000) * sd)), 4)
+    v = np.round(np.exp(r.normal(11, 0.3, 5000)))
+    c[r.choice(5000, 60, replace=False)] *= 1.08
+    c[3000] *= 2
+    data = [(i, "AB", at("2010-01-01") + dt.timedelta(days=i), float(c[i]), float(v[i])) for i in range(5000)]
+    df = spark.createDataFrame(data, "bar_id long, ticker string, timestamp timestamp, close double, volume double").cache()
+    flags = [{r.bar_id: (r.close_flag, r.volume_flag) for r in implausible(df, model=SpikeModel(block=b)).collect()} for b in (512, 4096)]
+    assert flags[0] == flags[1] and flags[0][3000][0] == "spike" and len(flags[0]) == 5000
+    whole = flag_series(c, v)
+    assert flags[0] == {i: (whole["close_flag"][i], whole["volume_flag"][i]) for i in range(5000)}
+
+
+def test_forward_backward_is_the_posterior_over_all_paths():
+    import itertools
+
+    r = np.random.default_rng(2)
+    m = SpikeModel(start=0.1, stay_spike=0.2, stay_stuck=0.5, stay_out=0.3)
+    a, ss, st, so = m.start, m.stay_spike, m.stay_stuck, m.stay_out
+    step = np.array([[1 - 3 * a, a, a, a], [1 - ss - a, ss, a / 2, a / 2], [1 - st - a, a / 2, st, a / 2], [1 - so - a, a / 2, a / 2, so]])
+    emit = r.random((3, 5, 4))
+    emit[1, 3:] = 1.0  # a shorter series
+    got = forward_backward(emit, m)
+    for k, n in ((0, 5), (1, 3), (2, 5)):
+        want = np.zeros((n, 4))
+        for path in itertools.product(range(4), repeat=n):
+            p = step[0][path[0]] * emit[k, 0, path[0]]
+            for i in range(1, n):
+                p *= step[path[i - 1], path[i]] * emit[k, i, path[i]]
+            for i in range(n):
+                want[i, path[i]] += p
+        assert got[k, :n] == pytest.approx(want / want.sum(axis=1, keepdims=True))
+
+
 def test_nulls_and_empty(spark):
     kind = "bar_id long, ticker string, timestamp timestamp, close double, volume double"
     assert implausible(spark.createDataFrame([], kind)).count() == 0
