@@ -1,3 +1,4 @@
+import datetime as dt
 import itertools
 import random
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotemill.operators import timestamps as TS
-from quotemill.operators.timestamps import Penalties, interpretations, normalise_timestamps
+from quotemill.operators.timestamps import Penalties, interpreted, normalise_timestamps
 from tests.helpers import at
 
 NY, LONDON, BERLIN = "America/New_York", "Europe/London", "Europe/Berlin"
@@ -62,14 +63,14 @@ def us(text):
 
 def test_cases(spark):
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(CASES)], "i int, s string, z string, o string, want string")
-    got = {r.i: r.c for r in df.select("i", interpretations(F.col("s"), F.col("z"), F.col("o")).alias("c")).collect()}
+    got = {r.i: r.c for r in interpreted(df, "s", "z", "o", "c").collect()}
     for i, (s, _, _, want) in enumerate(CASES):
         best = min(got[i], key=lambda c: c.cost).utc_us if got[i] else None
         assert best == (us(want) if want else None), s
 
 
 def test_both_instants_of_a_repeated_hour(spark):
-    c = spark.range(1).select(interpretations(F.lit("2024-10-27 02:30:00"), F.lit(BERLIN), F.lit("DMY")).alias("c")).first().c
+    c = interpreted(spark.createDataFrame([("2024-10-27 02:30:00", BERLIN, "DMY")], "s string, z string, o string"), "s", "z", "o", "c").first().c
     assert [x.utc_us for x in c] == [us("2024-10-27T00:30:00"), us("2024-10-27T01:30:00")] and c[1].cost >= 1000
 
 
@@ -95,9 +96,11 @@ def brute(cands, p):
     return min(best.values(), key=lambda x: x[0])[0]
 
 
-@pytest.mark.parametrize("parts", [1, 2, 7])
-def test_viterbi_over_blocks_is_optimal(spark, parts, monkeypatch):
+@pytest.mark.parametrize("parts,fan", [(1, 1024), (2, 1024), (7, 1024), (7, 2), (20, 2)])
+def test_viterbi_over_blocks_is_optimal(spark, parts, fan, monkeypatch):
+    """Over one block, several, and several levels of blocks."""
     monkeypatch.setattr(TS, "ROWS_PER_BLOCK", 10_000)
+    monkeypatch.setattr(TS, "FAN", fan)
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
         p = Penalties()
@@ -105,7 +108,7 @@ def test_viterbi_over_blocks_is_optimal(spark, parts, monkeypatch):
         feeds = spark.createDataFrame([("odd", "rss", "UTC", None)], FEEDS)
         got = {r.rec_id: r for r in normalise_timestamps(raw, feeds, penalties=p).collect()}
         assert len(got) == 120
-        cand = {r.rec_id: r.c for r in raw.select("rec_id", interpretations(F.col("published_at"), F.lit("UTC"), F.lit(None).cast("string"), p).alias("c")).collect()}
+        cand = {r.rec_id: r.c for r in interpreted(raw.withColumns({"z": F.lit("UTC"), "o": F.lit(None).cast("string")}), "published_at", "z", "o", "c", p).collect()}
         order = sorted(cand)
         cost = sum(next(c.cost for c in cand[i] if c.utc_us == got[i].utc_us and c.fmt == got[i].fmt) for i in order)
         cost += sum(p.switch * (got[a].fmt != got[b].fmt) + p.backward * (got[a].utc_us > got[b].utc_us) for a, b in itertools.pairwise(order))
@@ -114,6 +117,34 @@ def test_viterbi_over_blocks_is_optimal(spark, parts, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_all_interpretations_reach_the_path(spark):
+    """Declared rules decide there, by their cost, and not before."""
+    feeds = spark.createDataFrame([("a", "x", NY, "MDY")], FEEDS)
+    stamps = ["03/04/2024 10:00:00", "2024-11-03 01:30:00", "1704067200", "2024-01-05 10:00:00 IST"]
+    raw = spark.createDataFrame([(i, "news", "a", None, x, None, at("2024-01-01"), "q") for i, x in enumerate(stamps)], RAW)
+    got = {r.rec_id: (r.readings, r.utc_us) for r in normalise_timestamps(raw, feeds).collect()}
+    assert got == {0: (2, us("2024-03-04T15:00:00")), 1: (2, us("2024-11-03T05:30:00")), 2: (4, us("2024-01-01T00:00:00")), 3: (2, us("2024-01-05T04:30:00"))}
+
+
+def test_the_path_alone_finds_the_order_of_undeclared_feeds(spark):
+    """Feeds that declare nothing, of either order, with records received in order and some late ones."""
+    r = random.Random(8)
+    rows, truth = [], {}
+    for f, order in (("m", "%m/%d/%Y"), ("d", "%d/%m/%Y")):
+        t = at("2024-01-01")
+        for i in range(600):
+            t += dt.timedelta(hours=r.uniform(1, 20))
+            told = t - dt.timedelta(days=r.uniform(2, 30)) if r.random() < 0.05 else t
+            k = len(rows)
+            text = told.strftime(order + " %H:%M:%S") if r.random() < 0.8 else told.strftime("%Y-%m-%dT%H:%M:%SZ")
+            rows.append((k, "news", f, None, text, None, t, "q"))
+            truth[k] = int(told.timestamp()) * 1_000_000
+    feeds = spark.createDataFrame([(f, "x", "UTC", None) for f in "md"], FEEDS)
+    got = {x.rec_id: x.utc_us for x in normalise_timestamps(spark.createDataFrame(rows, RAW), feeds).collect()}
+    right = sum(got[k] == v for k, v in truth.items()) / len(truth)
+    assert right >= 0.9, right
+
+
 def test_nulls_repeats_and_empty(spark):
     feeds = spark.createDataFrame([("a", "x", NY, "MDY"), ("a", "x", NY, "MDY"), (None, "x", NY, "MDY")], FEEDS)
     assert normalise_timestamps(spark.createDataFrame([], RAW), feeds).count() == 0
