@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.columns import DAY_US, entity_key, finite, floor_div
-from quotemill.session import broadcast_within
+from quotemill.session import broadcast_within, cut
 
 #: Sessions that may be broadcast: over a century of trading days, about 3 MB.
 MAX_BROADCAST_SESSIONS = 50_000
@@ -61,29 +61,34 @@ def regular_grid(
     """
     slot = slot_seconds * 1_000_000
     r = readings.select(entity_key(F.col(entity)).alias("__e"), F.unix_micros(F.col(at)).alias("__t"), finite(F.col(value).cast("double")).alias("__y")).filter("__e is not null and __t is not null and __y is not null")
-    s = sessions.select(F.col(session_date).alias("__sd"), F.unix_micros(F.col(open_at)).alias("__o"), F.unix_micros(F.col(close_at)).alias("__c")).filter("__o < __c")
-    s = s.withColumn("__day", F.explode(F.sequence(floor_div(F.col("__o"), DAY_US), floor_div(F.col("__c") - 1, DAY_US))))
-    inside = r.withColumn("__day", floor_div(F.col("__t"), DAY_US)).join(broadcast_within(s, MAX_BROADCAST_SESSIONS), "__day").filter("__t >= __o and __t < __c")
+    s = sessions.select(F.col(session_date).alias("__sd"), F.unix_micros(F.col(open_at)).alias("__o"), F.unix_micros(F.col(close_at)).alias("__c")).filter("__o < __c").distinct()
+    # Sessions are told by number, so that the sums below carry one key for three.
+    s = broadcast_within(cut(s.withColumn("__id", F.row_number().over(Window.orderBy("__sd", "__o", "__c")))), MAX_BROADCAST_SESSIONS)
+    days = s.withColumn("__day", F.explode(F.sequence(floor_div(F.col("__o"), DAY_US), floor_div(F.col("__c") - 1, DAY_US))))
+    inside = r.withColumn("__day", floor_div(F.col("__t"), DAY_US)).join(broadcast_within(days, 2 * MAX_BROADCAST_SESSIONS), "__day").filter("__t >= __o and __t < __c")
 
     k = floor_div(F.col("__t") - F.col("__o"), slot)
-    placed = inside.select("__e", "__sd", "__o", "__c", k.cast("int").alias("__k"), "__y", (F.pmod(F.col("__t") - F.col("__o"), F.lit(slot)) / F.lit(slot) - 0.5).alias("__x"))
+    placed = inside.select("__e", "__id", k.cast("int").alias("__k"), "__y", (F.pmod(F.col("__t") - F.col("__o"), F.lit(slot)) / F.lit(slot) - 0.5).alias("__x"))
     powers = [F.lit(1.0), F.col("__x")]
     while len(powers) < 5:
         powers.append(powers[-1] * F.col("__x"))
-    slots = placed.groupBy("__e", "__sd", "__o", "__c", "__k").agg(
+    slots = placed.groupBy("__e", "__id", "__k").agg(
         F.count("*").alias("__n"),
-        *[F.sum(powers[p]).alias(f"__a{p}") for p in range(5)],
+        *[F.sum(powers[p]).alias(f"__a{p}") for p in range(1, 5)],
         *[F.sum(F.col("__y") * powers[p]).alias(f"__b{p}") for p in range(4)],
     )
 
     # Each occupied slot speaks for itself, for the empty slots up to the next one, and to its neighbours.
-    by_slot = Window.partitionBy("__e", "__sd", "__o", "__c").orderBy("__k")
+    by_slot = Window.partitionBy("__e", "__id").orderBy("__k")
     last = floor_div(F.col("__c") - F.col("__o") - 1, slot).cast("int")
     # The explicit repartition lets the window and the sums below share one shuffle.
     told = (
-        slots.repartition("__e", "__sd", "__o", "__c")
-        .withColumn("__upto", F.coalesce(F.lead("__k").over(by_slot) - 1, last))
+        slots.repartition("__e", "__id")
+        .withColumn("__a0", F.col("__n").cast("double"))
+        .withColumn("__next", F.lead("__k").over(by_slot))
         .withColumn("__from", F.when(F.lag("__k").over(by_slot).isNull(), 0).otherwise(F.col("__k")).cast("int"))
+        .join(s, "__id")
+        .withColumn("__upto", F.coalesce(F.col("__next") - 1, last))
         .withColumn(
             "__to",
             F.explode(
@@ -110,7 +115,7 @@ def regular_grid(
         "left": F.when((says > 0) & (d[1] < 0), 1).otherwise(0),
         "right": F.when((says > 0) & (d[1] > 0), 1).otherwise(0),
     }
-    grid = told.select("__e", "__sd", "__o", "__c", g.alias("__g"), *[c.alias(f"__{n}") for n, c in sums.items()]).groupBy("__e", "__sd", "__o", "__c", "__g").agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in sums])
+    grid = told.select("__e", "__id", "__sd", "__o", g.alias("__g"), *[c.alias(f"__{n}") for n, c in sums.items()]).groupBy("__e", "__id", "__g").agg(F.first("__sd").alias("__sd"), F.first("__o").alias("__o"), *[F.sum(f"__{n}").alias(f"__{n}") for n in sums])
 
     w0, det = F.col("__w0"), F.col("__w0") * F.col("__w2") - F.col("__w1") * F.col("__w1")
     enough_weight = w0 >= 1e-12
@@ -133,5 +138,7 @@ def regular_grid(
 
 
 def unread_slots(grid: DataFrame, *, entity: str = "ticker") -> DataFrame:
-    """The slots without a reading of their own; slot_start in whole seconds since 1970 UTC."""
-    return grid.filter("n_readings = 0").select(entity, floor_div(F.unix_micros("slot_start"), 1_000_000).alias("slot_start"))
+    """The slots that the regression had to fill from their neighbours, or to mark as missing for want of support; slot_start in whole seconds since 1970 UTC."""
+    filled = (F.col("status") == "filled") & F.col("value").isNotNull() & (F.col("support") > 0)
+    missing = (F.col("status") == "missing") & F.col("value").isNull() & (F.col("weight") >= 0)
+    return grid.filter(filled | missing).select(entity, floor_div(F.unix_micros("slot_start"), 1_000_000).alias("slot_start"))

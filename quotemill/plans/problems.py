@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotemill.functions.columns import floor_div
 from quotemill.operators.deliveries import latest_deliveries
 from quotemill.operators.regrid import regular_grid, unread_slots
 from quotemill.operators.rolling import busier_than_usual, trailing_totals
@@ -36,7 +37,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid(spark, sf_dir)
+    """The whole grid; rounded where engines may add in another order."""
+    x = _grid(spark, sf_dir)
+    rounded = [F.round(c, 4).alias(c) for c in ("value", "weight", "support")]
+    return x.select("ticker", F.col("session_date").cast("string").alias("session_date"), floor_div(F.unix_micros("slot_start"), 1_000_000).alias("slot_start"), "n_readings", *rounded, "status")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +78,31 @@ def _windowed(v: str, name: str, n: int) -> str:
   CAST({total} AS DOUBLE) / nullif(sum(n{v}) {over}, 0) AS mean_{name}_{n}"""
 
 
+_SLOTS = f"""WITH {_BARS.format(table='intraday_bars')},
+r AS (
+  SELECT k.tk, s.session_date, epoch_us(s.open_at) AS o, epoch_us(s.close_at) AS c, (epoch_us(k."timestamp") - epoch_us(s.open_at)) // 900000000 AS k,
+    ((epoch_us(k."timestamp") - epoch_us(s.open_at)) % 900000000) / 900000000.0 - 0.5 AS x, k."close" AS y
+  FROM keyed k JOIN sessions s ON k."timestamp" >= s.open_at AND k."timestamp" < s.close_at WHERE k."close" IS NOT NULL
+), used AS (SELECT DISTINCT tk, session_date, o, c FROM r),
+slots AS (SELECT tk, session_date, o, unnest(generate_series(0, (c - o - 1) // 900000000)) AS g FROM used)"""
+
 SQL = {
+    "p4_grid": f"""{_SLOTS},
+near AS (
+  SELECT s.tk, s.session_date, s.o, s.g, r.k, r.x + (r.k - s.g) AS u, r.y, 1 - (r.x + (r.k - s.g)) * (r.x + (r.k - s.g)) / 2.25 AS w
+  FROM slots s JOIN r ON r.tk = s.tk AND r.session_date = s.session_date AND r.o = s.o AND r.k BETWEEN s.g - 1 AND s.g + 1
+), sides AS (
+  SELECT tk, session_date, o, g, k, count(*) AS n, sum(u) AS d1, sum(w) AS w0, sum(w * u) AS w1, sum(w * u * u) AS w2, sum(w * w) AS q, sum(w * y) AS y0, sum(w * u * y) AS y1 FROM near GROUP BY ALL
+), sums AS (
+  SELECT tk, session_date, o, g, sum(CASE WHEN k = g THEN n ELSE 0 END) AS n, sum(w0) AS w0, sum(w1) AS w1, sum(w2) AS w2, sum(q) AS q, sum(y0) AS y0, sum(y1) AS y1, bool_or(d1 < 0) AND bool_or(d1 > 0) AS both_sides
+  FROM sides GROUP BY ALL
+), fits AS (
+  SELECT s.tk, s.session_date, s.o, s.g, coalesce(n, 0) AS n, coalesce(w0, 0) AS w0, CASE WHEN w0 >= 1e-12 THEN w0 * w0 / q ELSE 0 END AS support,
+    CASE WHEN both_sides AND w0 * w2 - w1 * w1 > 0.01 * w0 * w0 THEN (w2 * y0 - w1 * y1) / (w0 * w2 - w1 * w1) WHEN w0 >= 1e-12 THEN y0 / w0 END AS fit
+  FROM slots s LEFT JOIN sums USING (tk, session_date, o, g)
+), marks AS (SELECT *, CASE WHEN n > 0 THEN 'read' WHEN w0 >= 0.1 AND support >= 1 - 1e-9 THEN 'filled' ELSE 'missing' END AS status FROM fits)
+SELECT tk AS ticker, CAST(session_date AS VARCHAR) AS session_date, o // 1000000 + g * 900 AS slot_start, CAST(n AS BIGINT) AS n_readings,
+  round(CASE WHEN status <> 'missing' THEN fit END, 4) AS value, round(w0, 4) AS weight, round(support, 4) AS support, status FROM marks""",
     "p2_found": f"""{_TRAILING}, t AS (
   SELECT tk, d, day_no, sum(v) OVER (PARTITION BY tk ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS v7, sum(v) OVER (PARTITION BY tk ORDER BY d ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS v30 FROM filled
 ) SELECT tk AS ticker, strftime(d, '%Y-%m-%d') AS trade_day FROM t WHERE day_no >= 30 AND v7 * 60 > v30 * 21""",
