@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from quotemill.llm import mixing as M
 from quotemill.llm.mixing import mix_sources
 
 DOCS, TARGETS = "doc_id long, source string, n_tokens long", "source string, target_share double, max_repeats int, tokens int"
@@ -34,9 +36,11 @@ def test_shares_are_met_without_a_budget(spark):
     assert all(n <= cap[source[i]] for i, n in uses.items())
 
 
-@pytest.mark.parametrize("budget", [0, 1, 5000, 300_000, 10**9])
-def test_budget_against_a_queue(spark, budget):
-    """One pass over all uses in order of finish time, until one doesn't fit."""
+@pytest.mark.parametrize("budget,rows,edge", [(0, 100_000, 10_000), (1, 100_000, 10_000), (5000, 50, 3), (300_000, 50, 3), (300_000, 100_000, 10_000), (10**9, 50, 3)])
+def test_budget_against_a_queue(spark, budget, rows, edge, monkeypatch):
+    """One pass over all uses in order of finish time, until one doesn't fit; in many slices and narrowed to few rows, too."""
+    monkeypatch.setattr(M, "ROWS_PER_SLICE", rows)
+    monkeypatch.setattr(M, "EDGE_ROWS", edge)
     rows, docs, targets = make(spark)
     mix, _ = run(spark, docs, targets, budget=budget)
     got = [(r.finish, r.source, r.doc_id, r.use, r.n_tokens) for r in mix.collect()]
@@ -64,6 +68,40 @@ def test_finish_times_are_running_totals(spark):
     assert run_total == {"big": size["big"], "mid": size["mid"] * 2, "tiny": size["tiny"] * 4}
 
 
+@pytest.mark.parametrize("budget", [20_000, 150_000, None])
+def test_shares_are_met_to_a_document(spark, budget):
+    """As long as no source is used up, each gives its share of the total but for a document of its own and of the others."""
+    rows, docs, targets = make(spark, seed=3)
+    mix, report = run(spark, docs, targets, budget=budget)
+    got = {r.source: r for r in report.collect()}
+    live, total = ("big", "mid", "tiny"), sum(r.mixed_tokens for r in got.values())
+    share = {"big": 0.5 / 0.95, "mid": 0.3 / 0.95, "tiny": 0.15 / 0.95}
+    for s in live:
+        assert abs(got[s].mixed_tokens - share[s] * total) <= 2 * 900
+    bound = [s for s in got if got[s].sets_budget]
+    assert bound == ([] if budget else [min(live, key=lambda s: got[s].source_tokens * got[s].max_repeats / share[s])])
+    assert got["absent"].off_target == pytest.approx(-0.05)
+
+
+def test_a_source_of_nearly_all_rows_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(M, "ROWS_PER_SLICE", 200)
+    docs = spark.createDataFrame([(i, "big" if i % 10 else "tiny", 10) for i in range(4000)], DOCS)
+    targets = spark.createDataFrame([("big", 0.9, 1, 9), ("tiny", 0.1, 1, 9)], TARGETS)
+    mix, report = run(spark, docs, targets)
+    assert mix.count() == 4000 and {r.source: r.mixed_tokens for r in report.collect()} == {"big": 36_000, "tiny": 4_000}
+    place = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(7)), 64 - (4000 // 200).bit_length())
+    assert docs.filter("source = 'big'").groupBy(place).count().agg(F.max("count")).first()[0] < 400
+
+
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(M, "MAX_BROADCAST", 5)
+    docs = spark.createDataFrame([(i, f"s{i % 40}", 5 + i % 7) for i in range(2000)], DOCS)
+    targets = spark.createDataFrame([(f"s{k}", 1 / 40, 2, 9) for k in range(40)], TARGETS)
+    mix, report = run(spark, docs, targets, budget=6000)
+    assert 5900 < mix.agg(F.sum("n_tokens")).first()[0] <= 6000
+    assert all(abs(r.mixed_tokens - 150) <= 22 for r in report.collect())
+
+
 def test_empty_and_odd_targets(spark):
     _, docs, targets = make(spark, n=50)
     mix, report = run(spark, docs.limit(0), targets)
