@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.columns import entity_key
-from quotemill.session import broadcast_within, ship
+from quotemill.session import broadcast_within, cut, ship
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
 #: Steps of a doubling by which moves are counted.
@@ -249,7 +249,8 @@ def implausible(bars: DataFrame, *, key: str = "bar_id", entity: str = "ticker",
     b, h = model.block, model.halo
     rn = F.col("__rn")
     first, last = F.greatest(F.floor((rn - h) / b), F.lit(0)), F.least(F.floor((rn + h) / b), F.floor((F.col("__all") - 1) / b))
-    numbered = _numbered(known)
+    # Used twice: for the usual moves and for the flags.
+    numbered = cut(_numbered(known))
     spread = numbered.join(broadcast_within(usual_moves(numbered), MAX_BROADCAST_SOURCES), "__e", "left").withColumn("__block", F.explode(F.sequence(first, last)))
     spread = spread.select("__e", "__block", "__rn", "__id", "__t", "__c", "__v", "__usual").repartition("__e", "__block").sortWithinPartitions("__e", "__block", "__rn")
     kind = f"__id {dict(bars.dtypes)['__id']}, __e string, __t timestamp, close_flag string, volume_flag string, close_odds double, volume_odds double"
