@@ -13,7 +13,7 @@ from quotemill.functions.numeric import clamp, direction, label_of
 from quotemill.functions.text import word_set
 from quotemill.functions.time import hours_between
 from quotemill.operators.similar import components, similar_pairs
-from quotemill.session import ship
+from quotemill.session import cut, ship
 
 DECAY = 0.08  # per hour
 CLUSTER = 0.6
@@ -76,16 +76,22 @@ def _scored(scorers: list[Scorer], piece: pd.Series, required: bool) -> pd.DataF
     return pd.DataFrame({"sentiment": [None], "conviction": [None], "scored_by": [scorers[0].name]})
 
 
-def lexicon_scores(text: Column) -> tuple[Column, Column]:
-    """Label and conviction of a text by counting words; the scorer that needs no model and stays in the JVM."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
-    count = lambda listed: F.size(F.filter(words, lambda w: w.isin(*listed)))
-    up, down = count(POSITIVE_WORDS), count(NEGATIVE_WORDS)
-    return label_of((up - down).cast("double"), 0.0), clamp(F.abs(up - down) * 10.0 / F.nullif(up + down, F.lit(0)), 0.0, 10.0)
+def _listed(text: Column, words: tuple[str, ...]) -> Column:
+    return F.regexp_count(text, F.lit("(?<![a-z])(?:" + "|".join(words) + ")(?![a-z])"))
+
+
+def with_lexicon_scores(df: DataFrame, text: Column) -> DataFrame:
+    """df with sentiment and conviction of a text by counting words; the scorer that needs no model and stays in the JVM."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    # Columns of their own, so that each is counted once.
+    counted = df.withColumn("__low", low).withColumns({"__up": _listed(F.col("__low"), POSITIVE_WORDS), "__down": _listed(F.col("__low"), NEGATIVE_WORDS)})
+    up, down = F.col("__up"), F.col("__down")
+    conviction = clamp(F.abs(up - down) * 10.0 / F.nullif(up + down, F.lit(0)), 0.0, 10.0)
+    return counted.withColumns({"sentiment": label_of((up - down).cast("double"), 0.0), "conviction": F.coalesce(conviction, F.lit(0.0))}).drop("__low", "__up", "__down")
 
 
 class WordScorer:
-    """lexicon_scores as a Scorer, for use behind or instead of a model."""
+    """with_lexicon_scores as a Scorer, for use behind or instead of a model."""
 
     name = "words"
 
@@ -106,6 +112,8 @@ def recency_weight(published: Column, reference: Column, decay: float = DECAY) -
 
 def event_clusters(articles: DataFrame, *, key: str = "news_id", text: str = "headline", within: tuple[str, ...] = ("ticker", "day"), similarity: float = CLUSTER) -> DataFrame:
     """articles with cluster (least key of the event) and cluster_size: events are what chains of similar headlines connect within a group."""
+    # Used for the pairs, the nodes and the result.
+    articles = cut(articles)
     rows = articles.withColumn("__words", word_set(F.coalesce(F.col(text), F.lit(""))))
     found = components(articles, similar_pairs(rows, key=key, words="__words", similarity=similarity, within=within), key=key)
     sizes = found.groupBy("component").agg(F.count("*").alias("cluster_size"))

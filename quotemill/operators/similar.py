@@ -10,34 +10,53 @@ from pyspark.sql import functions as F
 from quotemill.session import cut
 
 
+#: Buckets of the word counts that order words: so many numbers, whatever the size of the table.
+BUCKETS = 1 << 14
+
+
+def _rare_first(rows: DataFrame, words: str) -> DataFrame:
+    """rows with the words (array<long>) of each in one order for all, rare ones first by the counts of their hash buckets."""
+    bucket = lambda w: F.pmod(w, F.lit(BUCKETS)).cast("int")
+    found = rows.select(F.explode(F.transform(words, bucket)).alias("b")).groupBy("b").count().collect()
+    counts = [0] * BUCKETS
+    for b, n in found:
+        counts[b] = n
+    # One row of BUCKETS numbers.
+    table = F.broadcast(rows.sparkSession.createDataFrame([(counts,)], "__counts array<long>"))
+    ordered = F.array_sort(F.transform(words, lambda w: F.struct(F.get("__counts", bucket(w)), w.alias("w"))))
+    return rows.crossJoin(table).withColumn(words, F.transform(ordered, lambda x: x["w"])).drop("__counts")
+
+
 def similar_pairs(df: DataFrame, *, key: str, words: str, similarity: float, within: tuple[str, ...] = ()) -> DataFrame:
     """a, b (keys, a < b), overlap: all pairs of one group whose word sets overlap by at least `similarity`.
 
     Two sets that reach it share one of the first words of each, when words are ordered
-    from rare to common, so only those words meet in a join; the overlap is then counted
-    exactly. Rows without words pair with nothing.
+    from rare to common, so only those words meet in a join, within their group. A pair
+    comes out where the joined word is the first that both share, and is counted exactly
+    there; words travel as 64-bit hashes. Rows without words, or with a null in their
+    group, pair with nothing.
     """
     t = Fraction(similarity).limit_denominator(10_000)
     p, q = t.numerator, t.denominator
-    rows = df.select(F.col(key).alias("__id"), F.col(words).alias("__w"), *[F.col(c).alias(f"__g{i}") for i, c in enumerate(within)]).filter(F.size("__w") > 0)
     groups = [f"__g{i}" for i in range(len(within))]
-    long = rows.select("__id", *groups, F.size("__w").alias("__n"), F.explode("__w").alias("__x"))
-    counts = long.groupBy("__x").agg(F.count("*").alias("__c"))
-    ordered = long.join(counts, "__x").groupBy("__id", *groups, "__n").agg(F.array_sort(F.collect_list(F.struct("__c", "__x"))).alias("__o"))
-    prefix = ordered.select("__id", *groups, "__n", F.explode(F.slice("__o", 1, (F.col("__n") - F.ceil(F.col("__n") * p / q) + 1).cast("int"))).alias("__e")).select("__id", *groups, "__n", F.col("__e.__x").alias("__x"))
+    rows = df.select(F.col(key).alias("__id"), F.transform(words, lambda w: F.xxhash64(w)).alias("__w"), *[F.col(c).alias(g) for g, c in zip(groups, within)])
+    # Used for the counts and for the join.
+    rows = cut(rows).filter(F.size("__w") > 0)
+    n = F.size("__w")
+    prefix = _rare_first(rows, "__w").select("__id", *groups, "__w", F.explode(F.slice("__w", 1, (n - F.ceil(n * p / q) + 1).cast("int"))).alias("__x"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    on = [F.col("a.__x") == F.col("b.__x"), F.col("a.__id") < F.col("b.__id"), *[F.col(f"a.{g}") == F.col(f"b.{g}") for g in groups]]
-    fits = (F.col("a.__n") * q >= F.col("b.__n") * p) & (F.col("b.__n") * q >= F.col("a.__n") * p)
-    met = a.join(b, on).filter(fits).select(F.col("a.__id").alias("a"), F.col("b.__id").alias("b")).distinct()
-    wa, wb = rows.select(F.col("__id").alias("a"), F.col("__w").alias("__wa")), rows.select(F.col("__id").alias("b"), F.col("__w").alias("__wb"))
-    both = F.size(F.array_intersect("__wa", "__wb"))
-    n = F.size("__wa") + F.size("__wb")
-    return met.join(wa, "a").join(wb, "b").filter(both * (p + q) >= n * p).select("a", "b", (both / (n - both)).alias("overlap"))
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("__x", *groups)] + [F.col("a.__id") < F.col("b.__id")]
+    na, nb = F.size("a.__w"), F.size("b.__w")
+    met = a.join(b, on).filter((na * q >= nb * p) & (nb * q >= na * p))
+    met = met.select(F.col("a.__id").alias("a"), F.col("b.__id").alias("b"), F.col("a.__x").alias("__x"), (na + nb).alias("__n"), F.array_intersect("a.__w", "b.__w").alias("__both"))
+    both = F.size("__both")
+    return met.filter((F.get("__both", F.lit(0)) == F.col("__x")) & (both * (p + q) >= F.col("__n") * p)).select("a", "b", (both / (F.col("__n") - both)).alias("overlap"))
 
 
 def components(nodes: DataFrame, pairs: DataFrame, *, key: str) -> DataFrame:
     """key, component: the least key each node is connected to. Labels spread along pairs and jump to the labels of labels, so rounds grow with the logarithm of the longest path; only nodes that have a pair take part in them."""
-    both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ways = pairs.select(F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("w"))
+    both = cut(ways.select("w.a", "w.b").distinct())
     labels = cut(both.select(F.col("a").alias("n")).distinct().withColumn("l", F.col("n")))
     open_ = not labels.isEmpty()
     while open_:

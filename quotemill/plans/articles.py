@@ -15,11 +15,13 @@ from quotemill.operators.bars import momentum, smoothed
 from quotemill.operators.dedup import distinct_articles, first_by_key, first_of_similar
 from quotemill.operators.similar import similar_pairs
 from quotemill.plans.market import closes
-from quotemill.session import read
+from quotemill.session import broadcast_within, read
 from quotemill.sources import feeds
 from quotemill.sources.tables import latest_by, scored_and_new
 from quotemill.streaming import windows as E
 
+#: Tickers whose keywords may be broadcast.
+MAX_BROADCAST_TICKERS = 50_000
 PRIORITY = ["alpaca", "fmp", "finnhub", "rss"]
 START, END = "2025-02-20 00:00:00", "2025-03-20 00:00:00"
 
@@ -153,14 +155,24 @@ def jaccard_pairs(spark, d):
     return similar_pairs(x, key="news_id", words="words", similarity=0.6, within=("ticker", "day")).select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
+def keywords(spark, d) -> DataFrame:
+    """Each ticker with the word that names its company and the words that name the other companies of its sector (at most ten, by ticker)."""
+    listed = read(spark, d, "tickers").select(entity_key(F.col("ticker")).alias("ticker"), "sector", F.lower(F.split("company", " ")[0]).alias("keyword")).filter("ticker is not null").dropDuplicates(["ticker"])
+    by_sector = Window.partitionBy("sector").orderBy("ticker")
+    # Eleven words of a sector are enough to have ten besides one's own.
+    named = listed.filter("sector is not null and keyword is not null").withColumn("n", F.row_number().over(by_sector)).filter("n <= 11").groupBy("sector").agg(F.array_sort(F.collect_list(F.struct("n", "keyword"))).alias("peers"))
+    others = F.slice(F.filter(F.transform("peers", lambda x: x["keyword"]), lambda w: w != F.col("keyword")), 1, 10)
+    return listed.join(named, "sector", "left").select("ticker", "keyword", F.coalesce(others, F.array().cast("array<string>")).alias("competitors"))
+
+
 def scored(spark, d) -> DataFrame:
-    """Articles with sentiment and conviction by word lists, and relevance by whether the headline names the company."""
-    company = F.broadcast(read(spark, d, "tickers").select(entity_key(F.col("ticker")).alias("ticker"), F.lower(F.split("company", " ")[0]).alias("keyword")))
-    label, conviction = S.lexicon_scores(F.concat_ws(" ", "headline", "snippet"))
-    named = F.contains(F.lower(F.col("headline")), F.col("keyword"))
-    x = news(spark, d).filter(F.col("ticker").isNotNull() & blank_to_null(F.col("headline")).isNotNull()).join(company, "ticker", "left")
-    relevance = F.when(named, 1.0).when(F.col("provider") == "rss", 0.3).otherwise(0.9)
-    return x.select("news_id", "ticker", "day", "headline", "published_at", "provider", label.alias("sentiment"), F.coalesce(conviction, F.lit(0.0)).alias("conviction"), relevance.alias("relevance"))
+    """Articles with sentiment and conviction by word lists, and relevance: 1.0 where the headline names the company, 0.8 where it names a competitor, else by the provider."""
+    x = news(spark, d).filter(F.col("ticker").isNotNull() & blank_to_null(F.col("headline")).isNotNull()).join(broadcast_within(keywords(spark, d), MAX_BROADCAST_TICKERS), "ticker", "left")
+    head = F.lower("headline")
+    relevance = F.when(F.contains(head, F.col("keyword")), 1.0).when(F.exists("competitors", lambda w: F.contains(head, w)), 0.8).when(F.col("provider") == "rss", 0.3).otherwise(0.9)
+    x = x.select("news_id", "ticker", "day", "headline", "snippet", "published_at", "provider", relevance.alias("relevance"))
+    x = S.with_lexicon_scores(x, F.concat_ws(" ", "headline", "snippet"))
+    return x.select("news_id", "ticker", "day", "headline", "published_at", "provider", "sentiment", "conviction", "relevance")
 
 
 def article_sentiment(spark, d):
@@ -324,13 +336,16 @@ _N = """WITH n AS (SELECT * EXCLUDE (ticker), CASE WHEN trim(ticker) <> '' THEN
 _FILLED = lambda *cs: "coalesce(" + ", ".join(f"CASE WHEN {_BLANK.format(c=c)} THEN {c} END" for c in cs) + ")"
 _SET = r"list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[\p{{{{L}}}}\p{{{{N}}}}_]+'))"
 _LIST = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-_SCORED = f"""{_N}, w AS (
-  SELECT n.*, lower(split_part(t.company, ' ', 1)) AS keyword, regexp_extract_all(lower(concat_ws(' ', headline, snippet)), '[a-z]+') AS ws
-  FROM n LEFT JOIN tickers t ON upper(trim(t.ticker)) = n.ticker WHERE n.ticker IS NOT NULL AND {_BLANK.format(c='headline')}
+_KEYWORDS = """lst AS (SELECT DISTINCT ON (ticker) * FROM (SELECT upper(trim(ticker)) AS ticker, sector, lower(split_part(company, ' ', 1)) AS keyword FROM tickers WHERE trim(ticker) <> '')),
+peer AS (SELECT sector, list(keyword ORDER BY ticker) AS peers FROM (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY ticker) AS nth FROM lst WHERE sector IS NOT NULL AND keyword IS NOT NULL) WHERE nth <= 11 GROUP BY 1),
+kw AS (SELECT ticker, keyword, coalesce(list_slice(list_filter(peers, lambda x: x <> keyword), 1, 10), []) AS competitors FROM lst LEFT JOIN peer USING (sector))"""
+_SCORED = f"""{_N}, {_KEYWORDS}, w AS (
+  SELECT n.*, t.keyword, t.competitors, regexp_extract_all(lower(concat_ws(' ', headline, snippet)), '[a-z]+') AS ws
+  FROM n LEFT JOIN kw t ON t.ticker = n.ticker WHERE n.ticker IS NOT NULL AND {_BLANK.format(c='headline')}
 ), k AS (SELECT *, len(list_filter(ws, lambda x: list_contains({_LIST(S.POSITIVE_WORDS)}, x))) AS up, len(list_filter(ws, lambda x: list_contains({_LIST(S.NEGATIVE_WORDS)}, x))) AS down FROM w),
 s AS (
   SELECT news_id, ticker, day, us, headline, CASE WHEN up > down THEN 'POSITIVE' WHEN up < down THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS sentiment,
-  CASE WHEN up + down = 0 THEN 0.0 ELSE abs(up - down) * 10.0::DOUBLE / (up + down) END AS conviction, CASE WHEN contains(lower(headline), keyword) THEN 1.0 WHEN provider = 'rss' THEN 0.3 ELSE 0.9 END AS relevance FROM k
+  CASE WHEN up + down = 0 THEN 0.0 ELSE abs(up - down) * 10.0::DOUBLE / (up + down) END AS conviction, CASE WHEN contains(lower(headline), keyword) THEN 1.0 WHEN len(list_filter(competitors, lambda x: contains(lower(headline), x))) > 0 THEN 0.8 WHEN provider = 'rss' THEN 0.3 ELSE 0.9 END AS relevance FROM k
 )"""
 _PAIRS = f"""p AS (SELECT news_id, ticker, day, {_SET.format(c='headline')} AS ws FROM {{source}}),
 pairs AS (SELECT a.news_id AS a, b.news_id AS b, len(list_intersect(a.ws, b.ws)) AS m, len(a.ws) + len(b.ws) AS t FROM p a JOIN p b ON a.ticker = b.ticker AND {{group}} a.news_id < b.news_id WHERE len(a.ws) > 0 AND len(b.ws) > 0)"""
