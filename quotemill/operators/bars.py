@@ -13,7 +13,7 @@ from quotemill.functions.time import frame_start
 from quotemill.session import ship
 
 #: Names under which the columns of a bar arrive.
-ALIASES = {"o": "open", "h": "high", "l": "low", "c": "close", "v": "volume", "t": "timestamp", "date": "timestamp", "datetime": "timestamp", "symbol": "ticker", "vw": "vwap", "n": "trade_count", "adj close": "close"}
+ALIASES = {"o": "open", "h": "high", "l": "low", "c": "close", "v": "volume", "t": "timestamp", "date": "timestamp", "datetime": "timestamp", "symbol": "ticker", "vw": "vwap", "n": "trade_count", "adj close": "adj_close"}
 PRICES = ("open", "high", "low", "close")
 REQUIRED = ("ticker", "timestamp", "open", "high", "low", "close", "volume")
 

@@ -369,6 +369,16 @@ b AS (SELECT ticker, us, us - {offset_us} AS cut FROM valid)
 SELECT b.ticker, b.us AS "timestamp", coalesce(CASE WHEN {condition} THEN x.news_id END, -1) AS news_id, CASE WHEN {condition} THEN x.sentiment END AS sentiment FROM b ASOF LEFT JOIN snaps x ON b.ticker = x.ticker AND b.cut >= x.us"""
 
 
+#: Row after row, each kept unless it is like one of its ticker kept before.
+_GREEDY = """o AS (SELECT news_id, ticker, ws, row_number() OVER (PARTITION BY ticker ORDER BY news_id) AS rn FROM {source}),
+k AS (
+  SELECT DISTINCT ticker, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS ids, CAST([] AS VARCHAR[][]) AS kept FROM o
+  UNION ALL SELECT ticker, rn + 1, CASE WHEN alike THEN ids ELSE list_append(ids, news_id) END, CASE WHEN alike OR len(ws) = 0 THEN kept ELSE list_append(kept, ws) END
+  FROM (SELECT k.*, o.news_id, o.ws, len(list_filter(k.kept, lambda w: len(list_intersect(w, o.ws)) * 37 >= (len(w) + len(o.ws)) * 17)) > 0 AS alike FROM k JOIN o ON o.ticker = k.ticker AND o.rn = k.rn + 1)
+) SELECT unnest(ids) AS news_id FROM (SELECT ids FROM k QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY rn DESC) = 1)"""
+_WORDED = f"{_N.replace('WITH n', 'WITH RECURSIVE n')}, w AS (SELECT news_id, ticker, url, article_id, {_SET.format(c='headline').format()} AS ws FROM n WHERE ticker IS NOT NULL)"
+_FIRST = "SELECT * FROM {source} QUALIFY NOT coalesce({blank}, false) OR row_number() OVER (PARTITION BY ticker, {key} ORDER BY news_id) = 1"
+
 SQL = {
     "valid_articles": f"{_N} SELECT news_id, ticker, provider, coalesce(us, -1) AS published_at FROM n WHERE ticker IS NOT NULL AND {_BLANK.format(c='headline')}",
     "article_checks": f"{_N} SELECT CASE WHEN NOT coalesce({_BLANK.format(c='headline')}, false) THEN 'headline' WHEN NOT coalesce({_BLANK.format(c='url')}, false) THEN 'url' WHEN published_at IS NULL THEN 'published_at' ELSE 'valid' END AS why, count(*) AS n FROM n GROUP BY 1",
@@ -391,6 +401,9 @@ WHERE provider IN ('alpaca', 'fmp', 'finnhub') OR (provider = 'rss' AND ticker N
     "safe_numbers": """SELECT rec_id, coalesce(try_cast(coalesce(published_at, "timestamp") AS DOUBLE), -1.0) AS as_double, coalesce(CAST(trunc(try_cast(coalesce(published_at, "timestamp") AS DOUBLE)) AS BIGINT), -1) AS as_long FROM raw_feed""",
     "json_roundtrip": f"{_N} SELECT news_id, ticker, headline, coalesce(us // 1000, -1) AS published_ms, coalesce(len(related_tickers), 0) AS related FROM n",
     "dedup_url": f"{_N} SELECT news_id FROM n WHERE NOT coalesce({_BLANK.format(c='url')}, false) UNION ALL SELECT min(news_id) FROM n WHERE {_BLANK.format(c='url')} GROUP BY ticker, url",
+    "dedup_similar": f"{_WORDED}, {_GREEDY.format(source='w')}",
+    "dedup_three_pass": f"""{_WORDED}, w1 AS ({_FIRST.format(source='w', key='url', blank=_BLANK.format(c='url'))}), w2 AS ({_FIRST.format(source='w1', key='article_id', blank=_BLANK.format(c='article_id'))}), {_GREEDY.format(source='w2')}""",
+    "csv_lines": r"""SELECT coalesce(CASE WHEN regexp_matches(ticker, '[,"\n\r]') THEN '"' || replace(ticker, '"', '\"') || '"' ELSE ticker END, '') || ',' || coalesce(CASE WHEN regexp_matches(company, '[,"\n\r]') THEN '"' || replace(company, '"', '\"') || '"' ELSE company END, '') || ',' || coalesce(CASE WHEN regexp_matches(sector, '[,"\n\r]') THEN '"' || replace(sector, '"', '\"') || '"' ELSE sector END, '') AS line FROM tickers""",
     "jaccard_pairs": f"{_N}, {_PAIRS.format(source='n', group='a.day = b.day AND')} SELECT a, b, round(m / (t - m), 6) AS overlap FROM pairs WHERE m * 8 >= t * 3",
     "article_sentiment": f"{_SCORED} SELECT news_id, sentiment, round(conviction, 6) AS conviction, relevance FROM s",
     "batch_scores": f"{_SCORED} SELECT news_id, sentiment, round(conviction, 6) AS conviction, 'words' AS scored_by FROM s",
@@ -415,7 +428,7 @@ SELECT ticker, day, CAST(peers AS BIGINT) AS peers, round(conviction * (1 - leas
     "latest_scores": r"""SELECT substr(md5(trim(regexp_replace(regexp_replace(lower(headline), '[^a-z0-9 ]', '', 'g'), '\s+', ' ', 'g'))), 1, 12) AS content_hash, max(news_id) AS news_id FROM news WHERE headline IS NOT NULL GROUP BY 1""",
     "breaker_spells": """WITH e AS (SELECT user_id, epoch_us(ts) AS us, event_type = 'error' AS f FROM events), r AS (SELECT *, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM e),
 k AS (SELECT user_id, run, us, row_number() OVER (PARTITION BY user_id, run ORDER BY us) AS nth FROM r WHERE f)
-SELECT user_id, min(us) FILTER (nth = 2) AS opened_at, min(us) FILTER (nth = 2) + 120000000 AS closed_at, max(nth) AS failures FROM k GROUP BY user_id, run HAVING max(nth) >= 2""",
+SELECT user_id, min(us) FILTER (nth = 2) AS opened_at, max(us) + 120000000 AS closed_at, max(nth) AS failures FROM k GROUP BY user_id, run HAVING max(nth) >= 2""",
     "news_months": f"""{_N}, s AS (SELECT provider, min(us) AS a, max(us) AS b FROM n GROUP BY 1), m AS (SELECT provider, a, b, unnest(generate_series(date_trunc('month', make_timestamp(a)), make_timestamp(b), INTERVAL 1 MONTH)) AS m FROM s)
 SELECT provider, greatest(epoch_us(m), a) AS chunk_start, least(epoch_us(m + INTERVAL 1 MONTH), b) AS chunk_end FROM m WHERE greatest(epoch_us(m), a) < least(epoch_us(m + INTERVAL 1 MONTH), b)""",
     "set_operations": f"""{_N}, a AS (SELECT DISTINCT ticker FROM n), b AS (SELECT DISTINCT upper(trim(ticker)) AS ticker FROM documents WHERE trim(ticker) <> '')

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.columns import blank_to_null, entity_key
 from quotemill.functions.text import one_line, strip_tags, title_and_source
-from quotemill.functions.time import to_utc
+from quotemill.functions.time import TIMEFRAMES, to_utc
+from quotemill.operators.bars import clean_bars
 
 BARS = "ticker string, timestamp timestamp, open double, high double, low double, close double, volume double, source string, timeframe string, is_fallback boolean, currency string, ingested_at timestamp"
 NEWS = "ticker string, headline string, snippet string, source string, published_at timestamp, url string, provider string, author string, language string, related_tickers array<string>, article_id string, ingested_at timestamp"
@@ -86,12 +87,43 @@ def last_prices(wanted: DataFrame, primary: DataFrame, fallback: DataFrame) -> D
 
 
 def open_spells(attempts: DataFrame, *, by: str, at: str, failed: Column, after: int = 3, cool_seconds: int = 120) -> DataFrame:
-    """by, opened_at, closed_at, failures: spells in which a source is left alone, from the attempt at which `after` in a row had failed. Runs are islands between successes."""
-    from pyspark.sql import Window
-
+    """by, opened_at, closed_at, failures: spells in which a source is left alone, from the attempt at which `after` in a row had failed to cool_seconds after the last failure: each further one puts the end off. Runs are islands between successes."""
     w = Window.partitionBy(by).orderBy(at)
     runs = attempts.select(by, at, failed.alias("__f")).withColumn("__run", F.sum(F.when(~F.col("__f"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     inside = Window.partitionBy(by, "__run").orderBy(at)
     counted = runs.filter("__f").withColumn("__nth", F.row_number().over(inside))
-    spells = counted.groupBy(by, "__run").agg(F.max("__nth").alias("failures"), F.min(F.when(F.col("__nth") == after, F.col(at))).alias("opened_at")).filter(F.col("failures") >= after)
-    return spells.select(by, "opened_at", (F.col("opened_at") + F.expr(f"interval {cool_seconds} seconds")).alias("closed_at"), "failures")
+    spells = counted.groupBy(by, "__run").agg(F.max("__nth").alias("failures"), F.min(F.when(F.col("__nth") == after, F.col(at))).alias("opened_at"), F.max(at).alias("__last")).filter(F.col("failures") >= after)
+    return spells.select(by, "opened_at", (F.col("__last") + F.expr(f"interval {cool_seconds} seconds")).alias("closed_at"), "failures")
+
+
+#: What a provider is asked for where it has no bars of the wanted length.
+INTERVALS = {"yfinance": {"4Hour": "60m", "1Hour": "60m", "1Min": "1m", "5Min": "5m", "15Min": "15m", "30Min": "30m", "1Day": "1d", "1Week": "1wk", "1Month": "1mo"}}
+
+
+def interval_of(provider: str, timeframe: str) -> str:
+    """The name of a bar length for a provider; unknown ones raise."""
+    if timeframe not in TIMEFRAMES:
+        raise ValueError(f"unknown bar length: {timeframe}")
+    return INTERVALS.get(provider, {}).get(timeframe, timeframe)
+
+
+def landed_bars(df: DataFrame, provider: str, timeframe: str, *, is_fallback: bool = False, order: Sequence[str] = ()) -> DataFrame:
+    """Bars of one provider as they were landed, under the common names and types, one for each ticker and time, with where they come from. Averages and counts of trades are dropped; missing columns are null."""
+    interval_of(provider, timeframe)
+    x = clean_bars(df, order).drop("vwap", "trade_count", "adj_close")
+    given = {"source": F.lit(provider), "timeframe": F.lit(timeframe), "is_fallback": F.lit(is_fallback)}
+    kinds = dict(c.strip().split(" ", 1) for c in BARS.split(","))
+    return x.select(*[(given[c] if c in given else F.col(c) if c in x.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+
+
+def read_pages(pages: DataFrame, *, by: str = "ticker", page: str = "page", size: int = 50, limit: int = 200, token: str | None = None, next_token: str | None = None) -> DataFrame:
+    """The rows of landed pages that a reader would have come to: pages in order without a gap, no more than `limit`, up to the first that is short, and, with tokens, as long as each page is the one its predecessor names. Pages, not rows, are put in order, so a key costs as many rows as it has pages."""
+    first = lambda c: F.first(c, ignorenulls=True).alias(f"__{c}")
+    tokens = [first(c) for c in (token, next_token) if c]
+    known = pages.groupBy(by, page).agg(F.count("*").alias("__n"), *tokens)
+    w = Window.partitionBy(by).orderBy(page)
+    ok = (F.col(page) == F.row_number().over(w)) & (F.coalesce(F.lag("__n").over(w), F.lit(size)) >= size)
+    if token and next_token:
+        ok &= (F.row_number().over(w) == 1) | F.coalesce(F.lag(f"__{next_token}").over(w) == F.col(f"__{token}"), F.lit(False))
+    kept = known.withColumn("__ok", ok).withColumn("__all", F.min("__ok").over(w)).filter(F.col("__all") & (F.col(page) <= limit)).select(by, page)
+    return pages.join(kept, [by, page], "left_semi")

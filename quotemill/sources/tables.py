@@ -57,6 +57,30 @@ def evict_expired(spark: SparkSession, path: str, to: str, now: Column | None =
     read_scores(spark, path, now).write.mode("overwrite").parquet(to)
 
 
+def two_tier(wanted: DataFrame, memory: DataFrame, disk: DataFrame, *, key: str, ttl_seconds: int, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(found, memory): what two tiers hold of the wanted keys, with tier ('memory', 'disk' or 'none'), and the short-lived tier afterwards.
+
+    memory has key, value and expires_at, of which stale rows count as absent; disk has key and
+    value and never expires. What only the disk holds enters memory again for half the
+    usual time; what has expired is evicted. Keys are unique in each tier; null keys are
+    found nowhere.
+    """
+    at = F.current_timestamp() if now is None else now
+    live = unexpired(memory, at)
+    kept = F.make_dt_interval(secs=F.lit(ttl_seconds / 2).cast("decimal(18,6)"))
+    m = live.select(key, F.col("value").alias("__m"), F.lit(True).alias("__in_m"))
+    x = wanted.select(key).distinct().join(m, key, "left").join(disk.select(key, F.col("value").alias("__d"), F.lit(True).alias("__in_d")), key, "left")
+    tier = F.when(F.col("__in_m"), "memory").when(F.col("__in_d"), "disk").otherwise("none")
+    found = x.select(key, F.coalesce("__m", "__d").alias("value"), tier.alias("tier"))
+    promoted = found.filter("tier = 'disk'").select(key, "value", (at + kept).alias("expires_at"))
+    return found, live.select(key, "value", "expires_at").unionByName(promoted)
+
+
+def without_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """df without the rows of some keys."""
+    return df.join(keys.select(key).distinct(), key, "left_anti")
+
+
 def scored_and_new(items: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items whose content was scored before, with the score, and those that weren't."""
     return items.join(scores, "content_hash"), items.join(scores.select("content_hash"), "content_hash", "left_anti")

@@ -50,7 +50,10 @@ def running_last(df: DataFrame, *, by: str = "event_type", at: str = "ts", value
         n, last, v = state.get if state.exists else (0, None, None)
         for p in parts:
             n += len(p)
-            top = p.loc[p[at].idxmax()]
+            timed = p[p[at].notna()]
+            if timed.empty:
+                continue
+            top = timed.loc[timed[at].idxmax()]
             t = int(top[at].value // 1000)
             if last is None or t > last:
                 last, v = t, float(top[value])

@@ -4,11 +4,11 @@ import os
 
 import pytest
 
-from quotemill.plans import articles, market, problems
+from quotemill.plans import articles, market, problems, records
 from tests.helpers import DATA, rows, views
 
-QUERIES = {k: v for m in (problems, market, articles) for k, v in m.QUERIES.items()}
-SQL = {k: v for m in (problems, market, articles) for k, v in m.SQL.items()}
+QUERIES = {k: v for m in (problems, market, articles, records) for k, v in m.QUERIES.items()}
+SQL = {k: v for m in (problems, market, articles, records) for k, v in m.SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
