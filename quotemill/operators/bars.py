@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,19 +100,52 @@ def smoothed(df: DataFrame, columns: dict[str, tuple[str, float, int]], *, by: S
     """df with exponentially weighted means: out -> (column, alpha, values needed before the first one).
 
     y(0) = x(0), y = alpha x + (1 - alpha) y; over a null the last mean is carried and its
-    weight decays. Each series is one group in memory: it has one row per bar, so its
-    length is bounded by the calendar, however many sources there are.
+    weight decays. Each series is read in order, a batch at a time; from one batch to the
+    next only the last mean of each column is kept, so no series has to fit in memory.
     """
     ship(df.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        for out, (c, alpha, least) in columns.items():
-            pdf[out] = pdf[c].astype(float).ewm(alpha=alpha, adjust=False, min_periods=least).mean()
-        return pdf
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, states = None, {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            group = pdf.groupby(list(by), sort=False, dropna=False).ngroup().to_numpy()
+            cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            keys = [tuple(None if pd.isna(v) else v for v in pdf[list(by)].iloc[a]) for a in cuts]
+            values = {c: pdf[c].to_numpy(dtype=float, na_value=np.nan) for c, _, _ in columns.values()}
+            means = {out: np.empty(len(pdf)) for out in columns}
+            for key, a, b in zip(keys, cuts, np.append(cuts[1:], len(pdf))):
+                if key != now:
+                    now, states = key, {out: _Mean(alpha, least) for out, (_, alpha, least) in columns.items()}
+                for out, (c, _, _) in columns.items():
+                    means[out][a:b] = states[out].over(values[c][a:b])
+            yield pdf.assign(**means)
 
     kept = ", ".join(f"`{c}` {k}" for c, k in df.dtypes) + "".join(f", `{c}` double" for c in columns)
-    return df.groupBy(*by).applyInPandas(run, kept)
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, kept)
+
+
+class _Mean:
+    """An exponentially weighted mean that goes on from one piece of a series to the next."""
+
+    def __init__(self, alpha: float, least: int):
+        self.alpha, self.least = alpha, least
+        self.last, self.gap, self.seen = np.nan, 0, 0
+
+    def over(self, x: np.ndarray) -> np.ndarray:
+        # The last mean stands for all before it, followed by the nulls since; beyond some number of them it weighs nothing.
+        before = [] if np.isnan(self.last) else [self.last] + [np.nan] * min(self.gap, int(800 / self.alpha))
+        y = pd.Series(np.concatenate([before, x])).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[len(before) :].copy()
+        there = ~np.isnan(x)
+        seen = self.seen + np.cumsum(there)
+        if there.any():
+            at = int(np.flatnonzero(there)[-1])
+            self.last, self.gap, self.seen = y[at], len(x) - 1 - at, int(seen[-1])
+        else:
+            self.gap += len(x)
+        y[seen < self.least] = np.nan
+        return y
 
 
 def rsi(df: DataFrame, period: int = 14) -> DataFrame:

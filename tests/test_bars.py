@@ -96,3 +96,21 @@ def test_text_and_numbers(spark):
     random.seed(1)
     u = [r.u for r in spark.range(2000).select(N.jitter(42, F.col("id")).alias("u")).collect()]
     assert 0 <= min(u) and max(u) < 1 and abs(sum(u) / len(u) - 0.5) < 0.03
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_means_go_on_from_batch_to_batch(spark, batch):
+    r = random.Random(4)
+    data = [(f"t{k % 3}" if k % 3 else None, k, None if r.random() < 0.4 else r.uniform(1, 9)) for k in range(90)]
+    df = spark.createDataFrame(data, "ticker string, timestamp long, x double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = B.smoothed(df, {"a": ("x", 0.3, 4), "b": ("x", 0.9, 1)}).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert len(got) == 90
+    for key, g in got.groupby("ticker", dropna=False):
+        g = g.sort_values("timestamp")
+        for out, alpha, least in (("a", 0.3, 4), ("b", 0.9, 1)):
+            want = g["x"].ewm(alpha=alpha, adjust=False, min_periods=least).mean()
+            assert g[out].to_numpy() == pytest.approx(want.to_numpy(), nan_ok=True), key

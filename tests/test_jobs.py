@@ -24,6 +24,6 @@ def test_options(spark, tmp_path, monkeypatch, capsys):
     assert all(line.startswith("QZAR ") for line in capsys.readouterr().out.splitlines())
     main(["report", "--out", str(tmp_path), "--months", "3", "--tickers", "QZAR"])
     rows = spark.read.option("header", True).csv(str(tmp_path / "report")).collect()
-    assert len(rows) == 1 and 50 < int(rows[0].bars) < 80
+    assert len(rows) == 1 and 30 < int(rows[0].bars) < 80
     with pytest.raises(SystemExit):
         main(["report", "--months", "0"])
