@@ -162,13 +162,41 @@ class _Words(dict):
         return ids
 
 
+def split_pattern(file: dict) -> str:
+    """How the vocabulary of a file splits a text into words; raises for what the automaton doesn't stand for."""
+    model, pre = file["model"], file.get("pre_tokenizer") or {}
+    wrong = [k for k in ("normalizer", "post_processor") if file.get(k)]
+    wrong += [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    steps = pre.get("pretokenizers", [pre])
+    levels = [s for s in steps if s.get("type") == "ByteLevel"]
+    splits = [s for s in steps if s.get("type") == "Split"]
+    if model.get("type", "BPE") != "BPE" or len(levels) != 1 or len(levels) + len(splits) != len(steps) or levels[0].get("add_prefix_space"):
+        wrong.append("pre_tokenizer")
+    pattern = PATTERN
+    if splits:
+        # A split by a pattern of its own comes before the bytes.
+        own = splits[0].get("pattern", {}).get("Regex")
+        if len(splits) > 1 or own is None or levels[0].get("use_regex", True) or splits[0].get("behavior") != "Isolated" or splits[0].get("invert"):
+            wrong.append("pre_tokenizer")
+        pattern = own or PATTERN
+    elif levels and not levels[0].get("use_regex", True):
+        wrong.append("pre_tokenizer")
+    # Added tokens that aren't special would be found in the middle of texts.
+    if any(not t.get("special") for t in file.get("added_tokens") or []):
+        wrong.append("added_tokens")
+    if wrong:
+        raise ValueError("not a byte-level BPE vocabulary as supported here: " + ", ".join(dict.fromkeys(wrong)))
+    return pattern
+
+
 @functools.lru_cache(maxsize=4)
-def automaton(path: str = DEFAULT_VOCABULARY, pattern: str = PATTERN) -> TokenAutomaton:
-    """The automaton of a vocabulary file (JSON with vocab and merges); built once in each process."""
+def automaton(path: str = DEFAULT_VOCABULARY) -> TokenAutomaton:
+    """The automaton of a vocabulary file (JSON with vocab and merges), split as the file says; built once in each process. A file of another kind raises."""
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        file = json.load(f)
+    model = file["model"]
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-    return TokenAutomaton(model["vocab"], merges, pattern)
+    return TokenAutomaton(model["vocab"], merges, split_pattern(file))
 
 
 def encode_column(df: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

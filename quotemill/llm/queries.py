@@ -96,6 +96,14 @@ SQL = {
   SELECT a.news_id AS news_id_a, b.news_id AS news_id_b, len(list_intersect(a.ws, b.ws)) AS common, len(a.ws) AS na, len(b.ws) AS nb
   FROM sets a JOIN sets b ON a.news_id < b.news_id AND len(a.ws) * 20 >= len(b.ws) * 13 AND len(b.ws) * 20 >= len(a.ws) * 13
 ) SELECT news_id_a, news_id_b FROM near WHERE common * 33 >= (na + nb) * 13""",
+    "p3_classes": f"""WITH rows_ AS (
+  SELECT news_id, list_sort({_WORDS.format(text="headline || ' ' || snippet")}) AS ws FROM news
+  WHERE length(regexp_replace(headline, '\\s', '', 'g')) > 0 AND length(regexp_replace(snippet, '\\s', '', 'g')) > 0
+), sets AS (SELECT ws, min(news_id) AS class_id, count(*) AS class_size FROM rows_ WHERE len(ws) > 0 GROUP BY ws),
+near AS (
+  SELECT a.class_id, count(*) AS links FROM sets a JOIN sets b ON a.class_id <> b.class_id AND len(a.ws) * 20 >= len(b.ws) * 13 AND len(b.ws) * 20 >= len(a.ws) * 13
+  WHERE len(list_intersect(a.ws, b.ws)) * 33 >= (len(a.ws) + len(b.ws)) * 13 GROUP BY 1
+) SELECT news_id, class_id, class_size, coalesce(links, 0) AS links FROM rows_ JOIN sets USING (ws) LEFT JOIN near USING (class_id)""",
     "p7_found": """WITH valid AS (
   SELECT bar_id, upper(trim(ticker)) AS tk, epoch_us("timestamp") AS t
   FROM (SELECT *, row_number() OVER (PARTITION BY bar_id ORDER BY ingested_at DESC) AS nth FROM intraday_bars) WHERE nth = 1

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from quotemill.llm.bpe import DEFAULT_VOCABULARY, TokenAutomaton, automaton, byte_alphabet, count_tokens, decode_column, encode_column
+from quotemill.llm.bpe import DEFAULT_VOCABULARY, PATTERN, TokenAutomaton, automaton, byte_alphabet, count_tokens, decode_column, encode_column, split_pattern
 
 needs_file = pytest.mark.skipif(not os.path.exists(DEFAULT_VOCABULARY), reason="no vocabulary")
 
@@ -75,3 +75,17 @@ def test_columns(spark):
     assert back[1] == "Hello world" and back[3] == "" and back[5] == long
     assert {r.doc_id: r.n_tokens for r in count_tokens(df).collect()}[3] == 0
     assert encode_column(df.limit(0)).count() == 0
+
+
+@needs_file
+def test_other_kinds_of_files_raise():
+    """A vocabulary that splits, normalises or ends words in another way is refused, not encoded wrongly."""
+    file = {"model": {"type": "BPE", "vocab": {}, "merges": []}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "added_tokens": [{"content": "<end>", "special": True}]}
+    assert split_pattern(file) == PATTERN
+    own = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"\\S+|\\s+"}, "behavior": "Isolated", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]}
+    assert split_pattern(file | {"pre_tokenizer": own}) == r"\\S+|\\s+"
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"content": "x", "special": False}]}, {"model": file["model"] | {"end_of_word_suffix": "</w>"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        with pytest.raises(ValueError):
+            split_pattern(file | change)
+    with pytest.raises(ValueError):
+        automaton(os.path.join(os.path.dirname(DEFAULT_VOCABULARY), "word_bpe_49k.json"))
