@@ -18,13 +18,15 @@ from quotemill.session import cut, listed, remove, ship, touch
 ROWS_PER_SLOT = 1_000_000
 #: Slots are folders; beyond so many they grow instead.
 MAX_SLOTS = 4096
+#: From so many slots on, a batch looks for those that it touches; fewer are read whole.
+PRUNE_FROM = 64
 #: Rows of a batch that are broadcast to the stored rows of the slots they touch; of larger batches both sides are shuffled.
 MAX_BROADCAST = 1_000_000
 #: New rows that one task settles in their order; more are settled in rounds over all tasks, with the same result.
 MAX_IN_ORDER = 50_000
 
 SID = "struct<a: long, b: long>"
-#: What is kept of all accepted articles, each table in folders batch=.../slot=...
+#: What is kept of all accepted articles, each table in folders batch=.../kind=.../slot=...
 TABLES = {"sets": f"sid {SID}, words array<long>", "segments": f"sid {SID}, seg long, pos int, len int, rest boolean", "keys": "key string"}
 
 _URL = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?([^/?#\s]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -145,7 +147,7 @@ class SegmentIndex:
     """The word sets of all accepted articles, the segments of those, and their keys, in a shared folder.
 
     Each table lies in slots by the hash of what is looked up (segment, set, key), and a
-    batch reads only the slots that it touches. There it is broadcast to the stored rows,
+    batch reads only the slots that it touches, once there are PRUNE_FROM. There it is broadcast to the stored rows,
     which are never shuffled, sorted or rewritten; a batch beyond MAX_BROADCAST rows is
     joined by a shuffle of both. Slots are numbered when the index is built, about
     ROWS_PER_SLOT rows each.
@@ -178,10 +180,7 @@ class SegmentIndex:
         slots = min(MAX_SLOTS, 1 << max(0, tables["segments"].count() // rows_per_slot).bit_length())
         order = spark.createDataFrame([(counts.tolist(), t.numerator, t.denominator, slots)], "counts array<long>, p long, q long, slots int")
         order.coalesce(1).write.parquet(f"{path}/order")
-        index = SegmentIndex(spark, path, slots, counts, t, ())
-        for name, df in tables.items():
-            index._write(name, "base", df)
-        return index._done("base")
+        return SegmentIndex(spark, path, slots, counts, t, ())._write("base", tables)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "SegmentIndex":
@@ -189,41 +188,51 @@ class SegmentIndex:
         order = spark.read.parquet(f"{path}/order").first()
         return SegmentIndex(spark, path, order["slots"], np.array(order["counts"]), Fraction(order["p"], order["q"]), tuple(listed(spark, f"{path}/done")))
 
-    def _write(self, name: str, batch: str, df: DataFrame) -> None:
-        # One file for each slot of the batch.
-        placed = df.withColumn("slot", _slot(name, self.slots)).repartition("slot")
-        placed.write.mode("overwrite").partitionBy("slot").parquet(f"{self.path}/{name}/batch={batch}")
-
-    def _done(self, batch: str) -> "SegmentIndex":
+    def _write(self, batch: str, parts: dict[str, DataFrame]) -> "SegmentIndex":
+        """Writes the tables of a batch in one go, one file for each kind and slot, and marks it as done."""
+        rows = None
+        for name, df in parts.items():
+            part = df.withColumns({"kind": F.lit(name), "slot": _slot(name, self.slots)})
+            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+        rows.repartition("kind", "slot").write.mode("overwrite").partitionBy("kind", "slot").parquet(f"{self.path}/tables/batch={batch}")
         touch(self.spark, f"{self.path}/done/{batch}")
         return replace(self, batches=tuple(sorted({*self.batches, batch})))
 
     def table(self, name: str, slots: list[int] | None = None) -> DataFrame:
         """The rows of all batches that are done, of the given slots only."""
-        df = self.spark.read.schema(f"{TABLES[name]}, batch string, slot int").parquet(f"{self.path}/{name}").filter(F.col("batch").isin(*self.batches))
+        df = self.spark.read.schema(f"{TABLES[name]}, batch string, kind string, slot int").parquet(f"{self.path}/tables")
+        df = df.filter(F.col("batch").isin(*self.batches) & (F.col("kind") == name))
         if slots is not None and len(slots) < self.slots:
             df = df.filter(F.col("slot").isin(slots))
-        return df.drop("batch", "slot")
-
-    def _touched(self, name: str, probes: DataFrame, slot: Column) -> tuple[DataFrame, DataFrame]:
-        """The stored rows of the slots that the probes touch, and the probes, to be broadcast if they are within the bound. No more numbers than slots reach the driver."""
-        n, slots = probes.agg(F.count("*"), F.collect_set(slot)).first()
-        return self.table(name, slots), F.broadcast(probes) if n <= MAX_BROADCAST else probes
-
-    def near(self, sets: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+        return df.drop("batch", "kind", "slot")
+
+    def _touched(self, name: str, probes: DataFrame, slot: Column, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """The stored rows of the slots that the probes touch, and the probes, to be broadcast if they are within the bound. most: their number at most, if it is known. No more numbers than slots reach the driver."""
+        slots = None
+        if self.slots >= PRUNE_FROM:
+            most, slots = probes.agg(F.count("*"), F.collect_set(slot)).first()
+        elif most is None:
+            most = probes.count()
+        return self.table(name, slots), F.broadcast(probes) if most <= MAX_BROADCAST else probes
+
+    def near(self, sets: DataFrame, probes: DataFrame | None = None, most: int | None = None) -> DataFrame:
         """(sid, other): pairs of a given set and a stored one, the same or another, whose overlap reaches the bound, each once."""
         if probes is None:
             probes = cut(_segments(sets, self.counts, self.t, probed_segments))
-        stored, probing = self._touched("segments", probes, _slot("segments", self.slots))
-        met = cut(_met(stored, probing, self.t))
-        other = met.filter("sid <> other")
-        words, pairs = self._touched("sets", other.select(F.col("other").alias("sid"), F.col("sid").alias("__mine")), _slot("sets", self.slots))
-        pairs = pairs.select(F.col("__mine").alias("sid"), F.col("sid").alias("other"))
-        return met.filter("sid = other").unionByName(_verified(pairs, sets, words, self.t))
-
-    def known_keys(self, keys: DataFrame) -> DataFrame:
+        stored, probing = self._touched("segments", probes, _slot("segments", self.slots), most)
+        met = _met(stored, probing, self.t)
+        pairs = met.select(F.col("other").alias("sid"), F.col("sid").alias("__mine"))
+        if self.slots > 1:
+            # Few of them, which are broadcast to the stored sets.
+            pairs = cut(pairs)
+            words, pairs = self._touched("sets", pairs, _slot("sets", self.slots))
+        else:
+            words = self.table("sets")
+        return _verified(pairs.select(F.col("__mine").alias("sid"), F.col("sid").alias("other")), sets, words, self.t)
+
+    def known_keys(self, keys: DataFrame, most: int | None = None) -> DataFrame:
         """The given keys (column key) that are stored."""
-        stored, mine = self._touched("keys", keys, _slot("keys", self.slots))
+        stored, mine = self._touched("keys", keys, _slot("keys", self.slots), most)
         return stored.join(mine, "key").select("key").distinct()
 
     def append(self, accepted: DataFrame, batch: str, new: bool = False) -> "SegmentIndex":
@@ -238,11 +247,7 @@ class SegmentIndex:
             sets = sets.join(stored.join(mine, "sid").select("sid"), "sid", "left_anti")
             stored, mine = before._touched("keys", keys, _slot("keys", self.slots))
             keys = keys.join(stored.join(mine, "key").select("key"), "key", "left_anti")
-        self._write("sets", batch, sets)
-        written = replace(self, batches=(batch,)).table("sets")
-        self._write("segments", batch, _segments(written, self.counts, self.t, stored_segments))
-        self._write("keys", batch, keys)
-        return self._done(batch)
+        return self._write(batch, {"sets": sets, "segments": _segments(sets, self.counts, self.t, stored_segments), "keys": keys})
 
     def compact(self, path: str) -> "SegmentIndex":
         """The same index at another path, with one file for each slot instead of one for each slot and batch; the slots are numbered anew."""
@@ -286,11 +291,13 @@ def repeats(index: SegmentIndex, incoming: DataFrame, *, key: str = "news_id", b
     """
     rows = article_keys(incoming.select(key, batch, "url", "provider", "article_id", "headline"))
     rows = cut(rows.select(F.struct(F.col(batch).alias("batch"), F.col(key).alias("key")).alias("ord"), "words", "sid", "keys"))
+    n, n_words = rows.agg(F.count("*"), F.sum(F.size("words"))).first()
     sets = distinct_sets(rows)
     probes = cut(_segments(sets, index.counts, index.t, probed_segments))
-    old = index.near(sets, probes).select("sid").distinct().withColumn("old_set", F.lit(True))
+    # A set has no more probes than words and ends.
+    old = index.near(sets, probes, 2 * (n_words or 0)).select("sid").distinct().withColumn("old_set", F.lit(True))
     each = rows.select("ord", F.explode("keys").alias("key"))
-    old_keys = each.join(index.known_keys(each.select("key").distinct()), "key", "left_semi").select("ord").distinct().withColumn("old_key", F.lit(True))
+    old_keys = each.join(index.known_keys(each.select("key").distinct(), 2 * n), "key", "left_semi").select("ord").distinct().withColumn("old_key", F.lit(True))
     met = _met(_segments(sets, index.counts, index.t, stored_segments), probes, index.t).filter("sid <> other")
     around = _verified(met, sets, sets, index.t).groupBy("sid").agg(F.collect_set(_set_key(F.col("other"))).alias("near"))
     none = F.array().cast("array<string>")
@@ -298,7 +305,7 @@ def repeats(index: SegmentIndex, incoming: DataFrame, *, key: str = "news_id", b
     known = rows.join(old, "sid", "left").join(old_keys, "ord", "left").join(around, "sid", "left")
     known = cut(known.select("ord", own.alias("own"), F.concat(own, F.coalesce("near", none)).alias("heard"), (F.coalesce("old_set", F.lit(False)) | F.coalesce("old_key", F.lit(False))).alias("case")))
     fresh = known.filter("not case").drop("case")
-    late = _in_order(fresh) if fresh.count() <= MAX_IN_ORDER else _in_rounds(fresh)
+    late = _in_order(fresh) if n <= MAX_IN_ORDER else _in_rounds(fresh)
     name = lambda df, why: df.select(F.col("ord.key").alias(key), F.col("ord.batch").alias(batch), F.lit(why).alias("why"))
     return name(known.filter("case"), "history").unionByName(name(late, "batch"))
 

@@ -47,10 +47,11 @@ def articles(n, seed, start=0, batch=None):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("in_order,broadcast", [(50_000, 1_000_000), (0, 0)])
-def test_against_one_after_the_other(spark, tmp_path, monkeypatch, seed, in_order, broadcast):
-    """In one task and in rounds, with slots broadcast to and shuffled."""
+@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("in_order,broadcast,prune", [(50_000, 1_000_000, 64), (0, 0, 2), (0, 1_000_000, 2)])
+def test_against_one_after_the_other(spark, tmp_path, monkeypatch, seed, in_order, broadcast, prune):
+    """In one task and in rounds, with slots broadcast to and shuffled, some slots read and all."""
+    monkeypatch.setattr(X, "PRUNE_FROM", prune)
     monkeypatch.setattr(X, "MAX_IN_ORDER", in_order)
     monkeypatch.setattr(X, "MAX_BROADCAST", broadcast)
     old, new = articles(60, seed), articles(80, seed + 50, start=1000)
@@ -107,8 +108,9 @@ def test_what_is_not_marked_as_done_is_not_read(spark, tmp_path):
         index.append(new, "base")
 
 
-def test_rows_read_do_not_grow_with_history(spark, tmp_path):
+def test_rows_read_do_not_grow_with_history(spark, tmp_path, monkeypatch):
     """Ten times the history has ten times the slots; a batch reads those it touches."""
+    monkeypatch.setattr(X, "PRUNE_FROM", 2)
     r = random.Random(9)
     vocab = [f"w{i}" for i in range(20_000)]
     read = []
