@@ -55,7 +55,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_flags(spark, sf_dir).filter("close_flag <> 'normal' or volume_flag <> 'normal'").select("bar_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_trailing": p2_trailing, "p4_found": p4_found, "p4_grid": p4_grid, "p5_found": p5_found, "p6_found": p6_found, "p6_flags": p6_flags}
+def p6_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags that rules alone define: broken bounds and stuck values."""
+    hard = lambda c: F.when(F.col(c).isin("stuck", "out_of_range"), F.col(c)).otherwise("").alias(c)
+    return p6_flags(spark, sf_dir).select("bar_id", hard("close_flag"), hard("volume_flag")).filter("close_flag <> '' or volume_flag <> ''")
+
+
+QUERIES = {"p2_found": p2_found, "p2_trailing": p2_trailing, "p4_found": p4_found, "p4_grid": p4_grid, "p5_found": p5_found, "p6_found": p6_found, "p6_flags": p6_flags, "p6_hard": p6_hard}
 
 _BARS = """valid AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bar_id ORDER BY ingested_at DESC) AS nth FROM {table}) WHERE nth = 1
@@ -86,7 +92,15 @@ r AS (
 ), used AS (SELECT DISTINCT tk, session_date, o, c FROM r),
 slots AS (SELECT tk, session_date, o, unnest(generate_series(0, (c - o - 1) // 900000000)) AS g FROM used)"""
 
+_RUNS = ", ".join(f"""CASE WHEN {c} IS NOT NULL AND NOT isnan({c}) THEN count(*) OVER (PARTITION BY tk, {c}, {n}_run) ELSE 1 END AS {n}_length""" for c, n in (('"close"', "close"), ("volume", "volume")))
+_SAME = ", ".join(f"""sum(CASE WHEN {c} = before_{n} THEN 0 ELSE 1 END) OVER (PARTITION BY tk ORDER BY ts, bar_id ROWS UNBOUNDED PRECEDING) AS {n}_run""" for c, n in (('"close"', "close"), ("volume", "volume")))
+
 SQL = {
+    "p6_hard": f"""WITH {_BARS.format(table='daily_bars')},
+b AS (SELECT *, lag("close") OVER (PARTITION BY tk ORDER BY ts, bar_id) AS before_close, lag(volume) OVER (PARTITION BY tk ORDER BY ts, bar_id) AS before_volume FROM keyed WHERE ts IS NOT NULL),
+g AS (SELECT *, {_SAME} FROM b), l AS (SELECT *, {_RUNS} FROM g),
+f AS (SELECT bar_id, CASE WHEN "close" <= 0 THEN 'out_of_range' WHEN close_length >= 5 THEN 'stuck' ELSE '' END AS close_flag, CASE WHEN volume < 0 THEN 'out_of_range' WHEN volume_length >= 5 THEN 'stuck' ELSE '' END AS volume_flag FROM l)
+SELECT * FROM f WHERE close_flag <> '' OR volume_flag <> ''""",
     "p4_grid": f"""{_SLOTS},
 near AS (
   SELECT s.tk, s.session_date, s.o, s.g, r.k, r.x + (r.k - s.g) AS u, r.y, 1 - (r.x + (r.k - s.g)) * (r.x + (r.k - s.g)) / 2.25 AS w
