@@ -35,7 +35,7 @@ def test_supplement_prices_and_spells(spark):
     assert sorted(map(tuple, got.collect())) == [("A", 1.0, "p"), ("B", 3.0, "f"), ("C", None, "none")]
     log = spark.createDataFrame([("x", at("2024-01-01") + dt.timedelta(seconds=i), ok) for i, ok in enumerate([True, False, False, False, False, True, False, False])], "s string, t timestamp, ok boolean")
     spell = feeds.open_spells(log, by="s", at="t", failed=~F.col("ok")).collect()
-    assert [(r.opened_at, r.closed_at, r.failures) for r in spell] == [(dt.datetime(2024, 1, 1, 0, 0, 3), dt.datetime(2024, 1, 1, 0, 2, 3), 4)]
+    assert [(r.opened_at, r.closed_at, r.failures) for r in spell] == [(dt.datetime(2024, 1, 1, 0, 0, 3), dt.datetime(2024, 1, 1, 0, 2, 4), 4)]
 
 
 def test_tables(spark, tmp_path):
