@@ -186,7 +186,7 @@ class SegmentIndex:
     def load(spark: SparkSession, path: str) -> "SegmentIndex":
         ship(spark)
         order = spark.read.parquet(f"{path}/order").first()
-        return SegmentIndex(spark, path, order["slots"], np.array(order["counts"]), Fraction(order["p"], order["q"]), tuple(listed(spark, f"{path}/done")))
+        return SegmentIndex(spark, path, order["slots"], np.array(order["counts"], dtype=np.int32), Fraction(order["p"], order["q"]), tuple(listed(spark, f"{path}/done")))
 
     def _write(self, batch: str, parts: dict[str, DataFrame]) -> "SegmentIndex":
         """Writes the tables of a batch in one go, one file for each kind and slot, and marks it as done."""

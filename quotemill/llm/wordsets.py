@@ -56,8 +56,9 @@ def bucket_counts(sets: DataFrame, words: str = "words") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["b", "n"])
 
     rows = sets.select(words).mapInArrow(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(size, dtype=np.int64)
-    counts[rows["b"].to_numpy()] = rows["n"].to_numpy()
+    # They only order words and size shards, so that numbers beyond 32 bits are as good as the largest of these.
+    counts = np.zeros(size, dtype=np.int32)
+    counts[rows["b"].to_numpy()] = np.minimum(rows["n"].to_numpy(), np.iinfo(np.int32).max)
     return counts
 
 
