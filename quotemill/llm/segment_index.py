@@ -22,6 +22,8 @@ MAX_SLOTS = 4096
 PRUNE_FROM = 64
 #: Rows of a batch that are broadcast to the stored rows of the slots they touch; of larger batches both sides are shuffled.
 MAX_BROADCAST = 1_000_000
+#: Rows of waiting batches that are taken together: the start of the jobs of a small batch costs more than what they do.
+ROWS_AT_ONCE = 10_000
 #: New rows that one task settles in their order; more are settled in rounds over all tasks, with the same result.
 MAX_IN_ORDER = 50_000
 
@@ -365,13 +367,24 @@ def _set_key(sid: Column) -> Column:
 
 
 def accept_batches(index: SegmentIndex, incoming: DataFrame, *, key: str = "news_id", batch: str = "batch_no") -> DataFrame:
-    """key, batch, why: repeats of one batch after the other, as they would arrive. Each batch probes the stored index, its cases are kept, and what it adds is appended before the next one comes. Batches are taken in order, null first; of an empty table the result is empty."""
+    """key, batch, why: repeats of one batch after the other, as they would arrive. Each batch probes the stored index, its cases are kept, and what it adds is appended before the next one comes. Batches are taken in order, null first; waiting ones that are small go together, up to ROWS_AT_ONCE rows, which changes no result. Of an empty table the result is empty."""
+    waiting = incoming.groupBy(batch).count().orderBy(F.col(batch).asc_nulls_first()).collect()
+    groups: list[list] = []
+    size = 0
+    for b, n in waiting:
+        if not groups or size + n > ROWS_AT_ONCE:
+            groups.append([])
+            size = 0
+        groups[-1].append(b)
+        size += n
     cases = None
-    for (b,) in incoming.select(batch).distinct().orderBy(F.col(batch).asc_nulls_first()).collect():
-        rows = incoming.filter(F.col(batch).eqNullSafe(F.lit(b)))
+    for group in groups:
+        known = [b for b in group if b is not None]
+        rows = incoming.filter(F.col(batch).isin(known) | (F.col(batch).isNull() & F.lit(None in group)))
         found = cut(repeats(index, rows, key=key, batch=batch))
         cases = found if cases is None else cases.unionByName(found)
         # A key that is null or given more than once is settled alike within its batch.
-        accepted = rows.join(found.select(F.col(key).alias("__k")).distinct(), F.col(key).eqNullSafe(F.col("__k")), "left_anti")
-        index = index.append(accepted, f"b{b}", new=True)
+        gone = found.select(F.col(key).alias("__k"), F.col(batch).alias("__b")).distinct()
+        accepted = rows.join(gone, F.col(key).eqNullSafe(F.col("__k")) & F.col(batch).eqNullSafe(F.col("__b")), "left_anti")
+        index = index.append(accepted, f"b{group[0]}-{group[-1]}", new=True)
     return repeats(index, incoming, key=key, batch=batch) if cases is None else cases

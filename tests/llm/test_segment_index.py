@@ -61,7 +61,7 @@ def test_against_one_after_the_other(spark, tmp_path, monkeypatch, seed, in_orde
     assert got == sorted(brute(old, new))
 
 
-def test_batches_by_append_give_the_same(spark, tmp_path):
+def test_batches_by_append_give_the_same(spark, tmp_path, monkeypatch):
     old, new = articles(40, 7), articles(60, 8, start=1000)
     path = f"{tmp_path}/index"
     SegmentIndex.build(spark.createDataFrame(old, NEWS), path, rows_per_slot=30)
@@ -73,8 +73,13 @@ def test_batches_by_append_give_the_same(spark, tmp_path):
         found += hit
         index.append(rows.filter(~F.col("news_id").isin(hit) if hit else F.lit(True)), str(b))
     assert sorted(found) == sorted(brute(old, new))
-    again = SegmentIndex.build(spark.createDataFrame(old, NEWS), f"{tmp_path}/other")
-    assert sorted(r.news_id for r in accept_batches(again, spark.createDataFrame(new, NEWS)).collect()) == sorted(found)
+    # One at a time, two together, all together.
+    sizes_ = [sum(r[1] == b for r in new) for b in (1, 2, 3)]
+    for most, appended in ((1, 3), (sizes_[0] + sizes_[1], 2), (1000, 1)):
+        monkeypatch.setattr(X, "ROWS_AT_ONCE", most)
+        again = SegmentIndex.build(spark.createDataFrame(old, NEWS), f"{tmp_path}/{most}")
+        assert sorted(r.news_id for r in accept_batches(again, spark.createDataFrame(new, NEWS)).collect()) == sorted(found)
+        assert len(SegmentIndex.load(spark, f"{tmp_path}/{most}").batches) == 1 + appended
 
 
 def sizes(index):
