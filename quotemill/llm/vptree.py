@@ -22,6 +22,8 @@ CHUNK = 256
 BLOCK = 32768
 #: Cells of so few records are compared all at once instead of one after the other.
 SMALL = 64
+#: Pairs that equal parts of fingerprints bring up at a time.
+PIECE = 1 << 20
 
 
 def suffix_fingerprints(words: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -38,8 +40,9 @@ class Shard:
     """Records of one shard, all of which have its word: the length of each, the position of the word, and the fingerprint of the words after it.
 
     If the word is the first that two records share, the words before it differ, and of
-    those after it no more may differ than the bound leaves: that is the radius. It falls
-    with both positions, so records are searched by pairs of positions.
+    those after it no more may differ than the bound leaves: that is the radius. It is the
+    sum of what either record leaves, a share of its length less its position, so records
+    are searched by pairs of classes of that slack.
     """
 
     def __init__(self, fp: np.ndarray, length: np.ndarray, pos: np.ndarray, t: Fraction):
@@ -51,6 +54,9 @@ class Shard:
         self.far = sums - 2 * -((-sums * p) // (p + q))
         #: The same for sums up to a + b: far falls by one between some of them.
         self.far_within = np.maximum.accumulate(self.far)
+        #: What a record leaves of the bound, in parts of p + q: no two fit at a distance above the sum of theirs.
+        self.unit = p + q
+        self.slack = self.len * (q - p) - self.pos * self.unit
         self.tested = 0
         self.out: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -62,33 +68,35 @@ class Shard:
         d = np.bitwise_count(self.fp[i] ^ self.fp[j]).sum(axis=1, dtype=np.int64)
         return self.pos[i] + self.pos[j] + np.maximum(d, np.abs(self.rest[i] - self.rest[j])) <= self.far[self.len[i] + self.len[j]]
 
-    def _by_position(self, at: np.ndarray) -> list[np.ndarray]:
-        """Records of one position each, in order of length."""
-        at = at[np.lexsort((self.len[at], self.pos[at]))]
-        return np.split(at, np.flatnonzero(np.diff(self.pos[at])) + 1)
+    def _by_slack(self, at: np.ndarray) -> list[np.ndarray]:
+        """Records whose slack is the same in whole words, in order of the number of words after the shard's."""
+        of = self.slack[at] // self.unit
+        order = np.lexsort((self.rest[at], of))
+        return np.split(at[order], np.flatnonzero(np.diff(of[order])) + 1)
 
     def search(self, at: np.ndarray) -> None:
         """Pairs within `at`."""
-        groups = self._by_position(at)
+        groups = self._by_slack(at)
         for k, a in enumerate(groups):
             for b in groups[k:]:
                 self.meet(a, b, self._radius(a, b), a is b)
 
     def search_between(self, at: np.ndarray, other: np.ndarray) -> None:
         """Pairs of a record in `at` and one in `other`."""
-        others = self._by_position(other)
-        for a in self._by_position(at):
+        others = self._by_slack(other)
+        for a in self._by_slack(at):
             for b in others:
                 self.meet(a, b, self._radius(a, b), False)
 
     def _radius(self, a: np.ndarray, b: np.ndarray) -> int:
         if not len(a) or not len(b):
             return -1
-        return int(self.far_within[self.len[a[-1]] + self.len[b[-1]]] - self.pos[a[0]] - self.pos[b[0]])
+        by_slack = (int(self.slack[a].max()) + int(self.slack[b].max())) // self.unit
+        return min(by_slack, int(self.far_within[self.len[a].max() + self.len[b].max()] - self.pos[a].min() - self.pos[b].min()))
 
     def meet(self, a: np.ndarray, b: np.ndarray, r: int, same: bool) -> None:
-        """Pairs of a and b (of a, if same), each in order of length, within the radius: a vantage point parts a at its median distance from it, and to each part come those of b that the triangle inequality lets reach it."""
-        if r < 0 or not len(a) or not len(b):
+        """Pairs of a and b (of a, if same), each in order of rest, within the radius. Where equal parts of fingerprints tell too little, a vantage point parts a at its median distance from it, and to each part come those of b that the triangle inequality lets reach it."""
+        if r < 0 or not len(a) or not len(b) or self._join(a, b, r, same):
             return
         if len(a) * len(b) > LEAF * LEAF and len(a) > 1:
             v = int(a[len(a) // 2])
@@ -111,6 +119,56 @@ class Shard:
                 return
         self._compare(a, b, r, same)
 
+    def _join(self, a: np.ndarray, b: np.ndarray, r: int, same: bool) -> bool:
+        """The same from equal parts of fingerprints: of r + 1 parts one has no bit that differs. False, and nothing done, where comparing all costs less."""
+        n, bits = r + 1, 64 * FP_WORDS // (r + 1)
+        # In pairs compared: sorting and looking up both sides for each part, and what chance brings together.
+        if len(a) * len(b) <= n * (40_000 + 60 * (len(a) + len(b)) + 6 * len(a) * len(b) * 2.0 ** (-bits / 2)):
+            return False
+        met = []
+        for k in range(n):
+            ka, ia = self._parts(a, k * bits, bits)
+            kb, ib = (ka, ia) if same else self._parts(b, k * bits, bits)
+            lo = np.searchsorted(kb, ka)
+            met.append((ia, ib, lo, np.searchsorted(kb, ka, side="right") - lo))
+        if sum(int(m[3].sum()) for m in met) * 6 > len(a) * len(b):
+            return False
+        for ia, ib, lo, count in met:
+            has = np.flatnonzero(count)
+            ia, lo, count = ia[has], lo[has], count[has]
+            upto = np.cumsum(count)
+            begin = 0
+            while begin < len(ia):
+                # At least one record at a time, with all that it meets.
+                before = int(upto[begin - 1]) if begin else 0
+                end = max(begin + 1, int(np.searchsorted(upto, before + PIECE, side="right")))
+                c = count[begin:end]
+                i = np.repeat(ia[begin:end], c)
+                j = ib[np.arange(len(i)) + np.repeat(lo[begin:end] - (upto[begin:end] - c - before), c)]
+                begin = end
+                if same:
+                    keep = i < j
+                    i, j = i[keep], j[keep]
+                self.tested += len(i)
+                i, j = a[i], b[j]
+                for w in range(FP_WORDS):
+                    keep = np.bitwise_count(self.fp[i, w] ^ self.fp[j, w]) <= r
+                    i, j = i[keep], j[keep]
+                keep = self.fits(i, j)
+                if keep.any():
+                    self.out.append((i[keep], j[keep]))
+        return True
+
+    def _parts(self, at: np.ndarray, first: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of the fingerprints from `first` on, 32 at most, in order, and whose they are."""
+        w, shift = divmod(first, 64)
+        part = self.fp[at, w] >> np.uint64(shift)
+        if shift + bits > 64:
+            part |= self.fp[at, w + 1] << np.uint64(64 - shift)
+        part &= np.uint64((1 << min(bits, 32)) - 1)
+        key = np.sort((part << np.uint64(32)) | np.arange(len(at), dtype=np.uint64))
+        return key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
     def _compare(self, a: np.ndarray, b: np.ndarray, r: int, same: bool) -> None:
         rest, low, high = self.rest[b], self.fp[:, 0], self.fp[:, 1]
         # One half of the fingerprint tells little at a large distance.

@@ -96,6 +96,49 @@ def test_vantage_points_prune():
     assert key(shard) == key(whole) and len(key(shard)) >= n // 4 * 6 and shard.tested < 0.7 * whole.tested
 
 
+@pytest.mark.parametrize("pos,piece", [(9, 50), (10, 1 << 20), (11, 50), (12, 1 << 20)])
+def test_equal_parts_find_every_pair_and_pass_the_others_over(pos, piece, monkeypatch):
+    monkeypatch.setattr(V, "PIECE", piece)
+    r = np.random.default_rng(pos)
+    n, t, bound = 4000, as_fraction(0.65), 24 - 2 * pos
+    fp = r.integers(0, 2**64, (n, V.FP_WORDS), dtype=np.uint64)
+    # Every second record is as far from the one before it as the bound allows.
+    for i in range(1, n, 2):
+        fp[i] = fp[i - 1]
+        for bit in r.choice(64 * V.FP_WORDS, bound, replace=False):
+            fp[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    length, at = np.full(n, 60), np.full(n, pos)
+    want = {(i, i + 1) for i in range(0, n, 2)}
+    shard, halves = Shard(fp, length, at, t), Shard(fp, length, at, t)
+    shard.search(np.arange(n))
+    halves.search_between(np.arange(0, n, 2), np.arange(1, n, 2))
+    for s in (shard, halves):
+        assert {tuple(sorted((int(i), int(j)))) for i, j in zip(*s.pairs())} == want
+    assert shard.tested < 0.2 * n * n / 2 and halves.tested < 0.2 * n * n / 4
+
+
+def test_equal_fingerprints_are_not_joined_part_by_part():
+    """Where parts tell nothing, all are compared, once."""
+    n, t = 3000, as_fraction(0.65)
+    shard = Shard(np.zeros((n, V.FP_WORDS), np.uint64), np.full(n, 60), np.full(n, 12), t)
+    shard.search(np.arange(n))
+    assert len(shard.pairs()[0]) == n * (n - 1) // 2 and shard.tested <= n * (n + V.CHUNK)
+
+
+def test_classes_of_slack_leave_out_what_lengths_and_positions_exclude():
+    r = np.random.default_rng(9)
+    n, t = 4000, as_fraction(0.65)
+    fp = r.integers(0, 2**64, (n, V.FP_WORDS), dtype=np.uint64)
+    fp[1::2] = fp[::2]
+    length, pos = r.integers(45, 76, n), r.integers(0, 21, n)
+    shard = Shard(fp, length, pos, t)
+    shard.search(np.arange(n))
+    i, j = np.triu_indices(n, 1)
+    fits = shard.fits(i, j)
+    assert {tuple(sorted(x)) for x in zip(*map(np.ndarray.tolist, shard.pairs()))} == set(zip(i[fits].tolist(), j[fits].tolist())) and fits.sum() > 100
+    assert shard.tested < 0.75 * len(i)
+
+
 def test_fingerprint_distance_is_a_lower_bound():
     r = np.random.default_rng(3)
     for _ in range(50):
